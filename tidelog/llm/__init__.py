@@ -11,7 +11,10 @@ import importlib
 
 #: module -> query name
 MODULES = {
+    "minhash": "op1_minhash_near_dedup",
+    "mixing": "op4_pareto_mixing",
     "quality": "op5_quality_rules",
+    "bpe": "op8_bpe_lexicon",
 }
 
 
