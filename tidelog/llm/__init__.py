@@ -14,6 +14,7 @@ MODULES = {
     "minhash": "op1_minhash_near_dedup",
     "mixing": "op4_pareto_mixing",
     "quality": "op5_quality_rules",
+    "pii": "op6_pii_spans",
     "bpe": "op8_bpe_lexicon",
 }
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import documents
+from tidelog.llm.common import documents, map_arrow
 
 #: The byte-level pre-tokenizer's pattern (fixed value of the public vocabulary format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -295,7 +295,7 @@ def encode(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None =
 
     packed = rows.select(F.struct(*[rows[c] for c in keep]).alias("_row"), rows[text].alias("_text"))
     schema = T.StructType([packed.schema["_row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return packed.mapInArrow(run, schema)
+    return map_arrow(packed, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, documents, mix, prefix_hashes, range_hashes, word_bounds
+from tidelog.llm.common import cut, documents, map_arrow, mix, prefix_hashes, range_hashes, word_bounds
 from tidelog.llm.components import connected_components
 
 K = 64
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-    return slim.mapInArrow(run, f"doc_id {kind}, h bigint, n bigint, node binary, sketch array<bigint>")
+    return map_arrow(slim, run, f"doc_id {kind}, h bigint, n bigint, node binary, sketch array<bigint>")
 
 
 def inverted_lists(classes: DataFrame, k: int, overlap: int, percent: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, k: int, margin: float) -> D
                 keep.append(shared >= (margin if not whole else 0) * len(distinct))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY, k: int = K) -> DataFrame:
