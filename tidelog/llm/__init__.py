@@ -15,7 +15,9 @@ MODULES = {
     "mixing": "op4_pareto_mixing",
     "quality": "op5_quality_rules",
     "pii": "op6_pii_spans",
+    "debruijn": "op7_substring_dedup",
     "bpe": "op8_bpe_lexicon",
+    "suffixes": "op10_suffix_dedup",
 }
 
 
