@@ -12,11 +12,14 @@ import importlib
 #: module -> query name
 MODULES = {
     "minhash": "op1_minhash_near_dedup",
+    "langid": "op2_language_id",
+    "quotes": "op3_quotation_linking",
     "mixing": "op4_pareto_mixing",
     "quality": "op5_quality_rules",
     "pii": "op6_pii_spans",
     "debruijn": "op7_substring_dedup",
     "bpe": "op8_bpe_lexicon",
+    "media": "op9_media_sequences",
     "suffixes": "op10_suffix_dedup",
 }
 
