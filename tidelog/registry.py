@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidelog.plans import logs, operations
+
 
 def queries() -> dict:
-    return {}
+    return {**logs.QUERIES, **operations.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**logs.SQL, **operations.SQL}
