@@ -5,14 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidelog.shipping import map_arrow  # noqa: F401  the operators take it from here
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -62,20 +60,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with this package sent to the executors, once a context."""
-    sc = df.sparkSession.sparkContext
-    if not getattr(sc, "_tidelog_sent", False):
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="tidelog-")) / f"tidelog-{uuid.uuid4().hex[:8]}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        sc._tidelog_sent = True
-    return df.mapInArrow(run, schema)
-
-
 def once(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns behind a one-element generator.
 
