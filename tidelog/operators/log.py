@@ -23,7 +23,7 @@ def number_in_order(rows: DataFrame, keys: list[str], seq: str, name: str, block
     Rows are numbered by blocks of ``seq``; the counts of earlier blocks, a few
     rows a key, are added. No key is ordered in one task.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(seq) / block))
+    blocked = rows.withColumn("_block", F.expr(f"`{seq}` div {block}"))
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

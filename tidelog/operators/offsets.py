@@ -22,9 +22,9 @@ def lag(committed: Column, earliest: Column, following: Column) -> tuple[Column,
 
 
 def describe_groups(latest: DataFrame, limits: DataFrame) -> DataFrame:
-    """Every partition of the topics for every group, with its commit or none."""
-    groups = latest.select("group").distinct()
-    every = groups.join(limits.select("topic", "partition", "earliest_offset", F.col("next_offset").alias("_end")), how="cross")
+    """Every partition of a topic for every group that has commits in the topic, with its commit or none."""
+    groups = latest.select("group", "topic").distinct()
+    every = groups.join(limits.select("topic", "partition", "earliest_offset", F.col("next_offset").alias("_end")), "topic")
     met = every.join(latest.withColumnRenamed("next_offset", "_committed"), KEY, "left")
     behind, outside = lag(F.col("_committed"), F.col("earliest_offset"), F.col("_end"))
     return met.select(
