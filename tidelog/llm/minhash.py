@@ -9,12 +9,17 @@
    shares so many meets in at least one of the ``k - overlap + 1`` values that
    are rarest in the corpus. Only those make lists, which keeps common
    shingles and passages out of them. Sketches that hold a whole set are exact.
-3. Lists emit stars, not pairs: round 0 pairs each member with the list's
-   smallest, later rounds with more and more hubs, but only across components
-   that are still apart, until every pair of a list has met or is connected.
-   A group of near copies costs a few pairs a member.
-4. The union sketch (the ``k`` smallest of two sketches together) estimates the
-   similarity and filters pairs; full sets from the texts confirm the rest.
+3. Lists emit stars, not pairs. Every member meets the list's most popular one,
+   its hub. The union sketch (the ``k`` smallest of two sketches together)
+   estimates the similarity and filters pairs; full sets from the texts confirm.
+   Pairs of two members then need no meeting: members linked to the hub are one
+   component; a member far from the hub (below ``NEAR``) cannot be linked to one
+   that is linked to the hub, by the triangle inequality of the Jaccard
+   distance; and members near it meet where they share additions to the hub
+   (``_by_differences``). Members
+   far from all hubs go on with further hubs, more each round, until none is
+   left. A group of near copies costs a few pairs a member.
+4. Links make components by contraction (``components``).
 
 Defined results: words are split at spaces and U+0009 to U+000D, A-Z lower-cased.
 A document with fewer words than a shingle is its whole sequence as one; without
@@ -41,7 +46,11 @@ from tidelog.llm.components import connected_components
 K = 64
 SIMILARITY = 80  # per cent
 #: hubs of a list in round 1, and their growth by round
-HUBS, GROWTH = 8, 4
+HUBS, GROWTH = 16, 8
+#: members this similar to a hub are compared by their differences from it; at most 1 - 2 * (1 - similarity)
+NEAR = 0.5
+#: shared part of the union sketch from which a pair may be near: 4.5 deviations below ``NEAR`` at k = 64
+PLAUSIBLE = 0.22
 
 
 def least_overlap(k: int, percent: int) -> int:
@@ -96,38 +105,41 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, k: int, overlap: int, percent: int) -> DataFrame:
-    """(value, node, n, df): the rarest retained values of each class, in lists of two classes or more."""
+    """(value, node, n, pop, df, near): the rarest retained values of each class, in lists of two classes or more; ``pop`` is how often others retain its values."""
     held = classes.select("node", "n", F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = held.join(shared, "value")
     size = F.least(F.col("n"), F.lit(k))
     # a sketch that is the whole set must share as much of it as the similarity asks of the set itself
     need = F.when(F.col("n") <= k, F.least(F.ceil(F.col("n") * percent / F.lit(100.0)), F.lit(overlap))).otherwise(F.lit(overlap))
-    rare = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"))
+    rare = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"), F.sum("df").alias("pop"))
     # values that no other class retains come first in the order of rarity and make no list
     prefix = size - need + 1 - (size - F.size("vals"))
-    return rare.filter(prefix > 0).select("node", "n", F.explode(F.slice("vals", F.lit(1), prefix.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n", F.col("v.df").alias("df"))
+    kept = rare.filter(prefix > 0).select("node", "n", "pop", F.explode(F.slice("vals", F.lit(1), prefix.cast("int"))).alias("v"))
+    return kept.select(F.col("v.value").alias("value"), "node", "n", "pop", F.col("v.df").alias("df"), F.lit(False).alias("near"))
 
 
-def _pairs(lists: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Distinct (a, b) between hubs and members of lists, across components, of sizes that can be similar enough."""
-    marked = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _hubs(lists: DataFrame, turn: int) -> DataFrame:
+    """(value, hub, hub_n): the most popular open member of each list at first, then more and more of them."""
+    held = lists.filter("NOT near")
     if turn == 0:
-        hubs = marked.groupBy("value").agg(F.min(F.struct("node", "n", "comp")).alias("hub")).select("value", "hub.*")
-    else:
-        begin, end = (HUBS * (GROWTH**t - 1) / (GROWTH - 1) for t in (turn - 1, turn))
-        u = F.pmod(F.xxhash64("value", "node"), F.lit(1 << 30)).cast("double") / float(1 << 30) * F.col("df")
-        hubs = marked.filter((u >= begin) & (u < end))
-    hubs = hubs.select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    near = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
-    met = marked.join(hubs, (marked["value"] == hubs["value"]) & (marked["comp"] != hubs["hub_comp"]) & near)
-    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        return held.groupBy("value").agg(F.max(F.struct("pop", "node", "n")).alias("h")).select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    begin, end = (HUBS * (GROWTH**t - 1) / (GROWTH - 1) for t in (turn - 1, turn))
+    u = F.pmod(F.xxhash64("value", "node"), F.lit(1 << 30)).cast("double") / float(1 << 30) * F.col("df")
+    return held.filter((u >= begin) & (u < end)).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of nodes that the pairs name: later rounds have few, and wide rows are not moved for the others."""
+    named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    return cut(rows.join(named, "node", "left_semi"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, k: int, margin: float) -> DataFrame:
-    """Pairs whose union sketch leaves the similarity possible."""
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    """Pairs whose union sketch leaves a similarity of ``NEAR`` possible."""
+    some = _of_pairs(classes.select("node", "sketch"), pairs)
+    one = some.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    two = some.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,25 +160,61 @@ def _plausible(pairs: DataFrame, classes: DataFrame, k: int, margin: float) -> D
     return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, linked, added, missing, diffs) of pairs whose full sets are ``NEAR`` or more: how a differs from b.
+
+    ``diffs`` holds what a adds to b's set; ``missing`` counts what it lacks of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
-            keep = []
-            hubs = batch.column(1).to_pylist()
-            for hub, ta, tb in zip(hubs, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            keep, linked, added, missing, diffs = [], [], [], [], []
+            for hub, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if hub != last:
                     last, known = hub, shingles(tb, width)
                 own = shingles(ta, width)
-                both = len(np.intersect1d(own, known, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(known) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
+                inside = np.isin(own, known, assume_unique=True)
+                both = int(np.count_nonzero(inside))
+                union = len(own) + len(known) - both
+                keep.append(both >= NEAR * union)
+                if keep[-1]:
+                    more = own[~inside]
+                    linked.append(100 * both >= percent * union)
+                    added.append(len(more))
+                    missing.append(len(known) - both)
+                    diffs.append(more.view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, diffs)]).astype(np.int32))
+            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(diffs) if diffs else np.zeros(0, np.int64)))
+            pair = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*pair.columns, pa.array(linked, pa.bool_()), pa.array(added, pa.int64()), pa.array(missing, pa.int64()), flat], ["a", "b", "linked", "added", "missing", "diffs"])
+
+    some = _of_pairs(texts, pairs)
+    one = some.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    two = some.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    return map_arrow(met, run, "a binary, b binary, linked boolean, added bigint, missing bigint, diffs array<bigint>")
+
+
+def _by_differences(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs, across components, of a member not linked to its hub and another that shares an addition to the hub.
+
+    Let x be unlinked to hub b, and y linked to x. Then x shares more than
+    ``c * added + (1 - c) * missing`` of y's differences from b, where c is
+    t / (1 + t) for similarity t; where y adds no less than it lacks, additions
+    are among them. So x and y meet in the list of an addition to b. Each list
+    is again a star: its unlinked members meet the one that differs least from
+    the hub, so pairs grow with members and not with their square.
+    """
+    comp = labels.select(F.col("node").alias("a"), "comp")
+    rows = compared.join(comp, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    # hubs with an unlinked member, and members of several components
+    live = rows.groupBy("b").agg((F.min("comp") != F.max("comp")).alias("m"), F.bool_and("linked").alias("l")).filter("m AND NOT l").select("b")
+    rows = rows.join(live, "b", "left_semi")
+    shown = cut(rows.select("a", "b", "comp", "linked", (F.col("added") + F.col("missing")).alias("d"), F.explode(F.slice("diffs", F.lit(1), F.col("added").cast("int"))).alias("e")))
+    best = shown.groupBy("b", "e").agg(F.min(F.struct("d", "a", "comp")).alias("best"))
+    met = shown.filter("NOT linked").join(best, ["b", "e"]).filter(F.col("comp") != F.col("best.comp"))
+    return met.select(F.greatest("a", "best.a").alias("a"), F.least("a", "best.a").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY, k: int = K) -> DataFrame:
@@ -174,32 +222,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
     every = cut(sketches(docs, width, k))
     some = every.filter("n > 0")
     classes = cut(some.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min("h").alias("h")))
-    overlap = least_overlap(k, percent)
-    lists = cut(inverted_lists(classes, k, overlap, percent))
-    texts = links = labels = None
+    lists = cut(inverted_lists(classes, k, least_overlap(k, percent), percent))
+    # the texts of classes that lists hold, one of each, fetched once
+    wanted = lists.select("node").distinct().join(classes.select("node", "h"), "node")
+    source = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    texts = cut(source.join(wanted, "h").select("node", "text").dropDuplicates(["node"]))
+    tables: list[DataFrame] = []
     turn = 0
-    while True:
-        pairs = cut(_pairs(lists, labels, turn, percent))
-        if pairs.take(1):
-            likely = cut(_plausible(pairs, classes, k, overlap / k))
-            if texts is None:
-                # the texts of classes that lists hold, one of each, fetched once
-                wanted = lists.select("node").distinct().join(classes.select("node", "h"), "node")
-                source = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-                texts = cut(source.join(wanted, "h").select("node", "text").dropDuplicates(["node"]))
-            found = cut(_confirmed(likely, texts, width, percent))
-            if found.take(1):
-                links = found if links is None else links.unionByName(found)
-                labels = connected_components(links)
-        # later rounds only read lists that still hold separate components and members that have not been hubs with all
-        marked = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        apart = marked.groupBy("value").agg((F.min("comp") != F.max("comp")).alias("apart"), F.max("df").alias("df"))
-        reached = HUBS * (GROWTH**turn - 1) / (GROWTH - 1)
-        open_lists = apart.filter((F.col("df") > max(2.0, reached)) & F.col("apart")).select("value")
-        lists = cut(lists.join(open_lists, "value", "left_semi"))
-        if not lists.take(1):
-            break
+    while lists.take(1):
+        hubs = cut(_hubs(lists, turn))
+        met = lists.join(hubs, "value").filter("node <> hub")
+        sized = (F.col("n") >= NEAR * F.col("hub_n")) & (F.col("hub_n") >= NEAR * F.col("n"))
+        pairs = cut(met.filter(sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        likely = cut(_plausible(pairs, classes, k, PLAUSIBLE))
+        found = cut(_compared(likely, texts, width, percent))
+        tables.append(found)
+        # hubs have met all; what is linked to one is settled with it, and what is near one by differences
+        seen = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.when(F.col("linked"), 2).otherwise(1).alias("s"))
+        state = met.join(seen, ["node", "hub"]).groupBy("value", "node").agg(F.max("s").alias("s"))
+        left = lists.join(hubs.select("value", F.col("hub").alias("node")), ["value", "node"], "left_anti").join(state, ["value", "node"], "left")
+        left = left.filter("s IS NULL OR s < 2").withColumn("near", F.col("near") | F.col("s").isNotNull()).drop("s")
+        more = left.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.bool_and("near").alias("all_near")).filter("c > 1 AND NOT all_near").select("value")
+        lists = cut(left.join(more, "value", "left_semi"))
         turn += 1
+    labels = None
+    if tables:
+        compared = tables[0]
+        for other in tables[1:]:
+            compared = compared.unionByName(other)
+        links = compared.filter("linked").select("a", "b")
+        labels = connected_components(links)
+        again = cut(_compared(cut(_by_differences(compared, labels)), texts, width, percent).filter("linked").select("a", "b"))
+        if again.take(1):
+            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(again))
     if labels is None:
         named = classes.select("node", F.col("least").alias("component_id"))
     else:
