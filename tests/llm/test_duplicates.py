@@ -148,3 +148,19 @@ def test_branches_compare_words():
     rows = [{"owner": 1, "back": 0, "run": 1, "first": 5, "body": b"a b"}, {"owner": 1, "back": 0, "run": 2, "first": 9, "body": b"a b c"}]
     flags = debruijn.branches(how)(rows)
     assert [f.tolist() for f in flags] == [[False], [True, False]]
+
+
+def meets_brute_force(spark, rows, width=1):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width).collect()}
+    assert got == {i: c for i, _, c in components(rows, width)}
+
+
+def test_families_with_optional_sections(spark):
+    rng, rows = random.Random(11), []
+    for f in range(12):
+        part = lambda name, n: [f"f{f}{name}{j}" for j in range(n)]  # noqa: B023, E731
+        for x in range(14):
+            words = part("base", 150) + sum((part(f"s{s}_", 18) for s in range(7) if rng.random() < 0.5), []) + part(f"own{x}_", rng.randint(0, 3))
+            rows.append((len(rows), " ".join(words)))
+    meets_brute_force(spark, rows)

@@ -15,10 +15,10 @@
    Pairs of two members then need no meeting: members linked to the hub are one
    component; a member far from the hub (below ``NEAR``) cannot be linked to one
    that is linked to the hub, by the triangle inequality of the Jaccard
-   distance; and members near it meet where they share additions to the hub
-   (``_by_differences``). Members
-   far from all hubs go on with further hubs, more each round, until none is
-   left. A group of near copies costs a few pairs a member.
+   distance; and members near it meet where they share differences from the hub
+   (``_by_differences``). Members close to no hub go on with further hubs, more
+   each round, until none is left. A group of near copies costs a few pairs a
+   member.
 4. Links make components by contraction (``components``).
 
 Defined results: words are split at spaces and U+0009 to U+000D, A-Z lower-cased.
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, documents, map_arrow, mix, prefix_hashes, range_hashes, word_bounds
@@ -119,14 +119,19 @@ def inverted_lists(classes: DataFrame, k: int, overlap: int, percent: int) -> Da
     return kept.select(F.col("v.value").alias("value"), "node", "n", "pop", F.col("v.df").alias("df"), F.lit(False).alias("near"))
 
 
+def _turn_of(turn: int, value: str, node: str) -> Column:
+    """Whether a member of a list of ``df`` is a hub in this turn, from 1 on: each is in one of them."""
+    begin, end = (HUBS * (GROWTH**t - 1) / (GROWTH - 1) for t in (turn - 1, turn))
+    u = F.pmod(F.xxhash64(value, node), F.lit(1 << 30)).cast("double") / float(1 << 30) * F.col("df")
+    return (u >= begin) & (u < end)
+
+
 def _hubs(lists: DataFrame, turn: int) -> DataFrame:
     """(value, hub, hub_n): the most popular open member of each list at first, then more and more of them."""
     held = lists.filter("NOT near")
     if turn == 0:
         return held.groupBy("value").agg(F.max(F.struct("pop", "node", "n")).alias("h")).select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    begin, end = (HUBS * (GROWTH**t - 1) / (GROWTH - 1) for t in (turn - 1, turn))
-    u = F.pmod(F.xxhash64("value", "node"), F.lit(1 << 30)).cast("double") / float(1 << 30) * F.col("df")
-    return held.filter((u >= begin) & (u < end)).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    return held.filter(_turn_of(turn, "value", "node")).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
 
 
 def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -161,15 +166,15 @@ def _plausible(pairs: DataFrame, classes: DataFrame, k: int, margin: float) -> D
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked, added, missing, diffs) of pairs whose full sets are ``NEAR`` or more: how a differs from b.
+    """(a, b, linked, close, added, missing, diffs) of pairs whose full sets are ``NEAR`` or more: how a differs from b.
 
-    ``diffs`` holds what a adds to b's set; ``missing`` counts what it lacks of it.
+    ``diffs`` holds what a adds to b's set and then what it lacks of it. Whatever is linked to a is ``NEAR`` b if they are ``close``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
-            keep, linked, added, missing, diffs = [], [], [], [], []
+            keep, linked, close, added, missing, diffs = [], [], [], [], [], []
             for hub, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if hub != last:
                     last, known = hub, shingles(tb, width)
@@ -180,41 +185,78 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 keep.append(both >= NEAR * union)
                 if keep[-1]:
                     more = own[~inside]
+                    less = known[~np.isin(known, own, assume_unique=True)]
                     linked.append(100 * both >= percent * union)
+                    close.append(100 * both >= (100 * NEAR + 100 - percent) * union)
                     added.append(len(more))
-                    missing.append(len(known) - both)
-                    diffs.append(more.view(np.int64))
+                    missing.append(len(less))
+                    diffs.append(np.concatenate([more, less]).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, diffs)]).astype(np.int32))
             flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(diffs) if diffs else np.zeros(0, np.int64)))
             pair = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*pair.columns, pa.array(linked, pa.bool_()), pa.array(added, pa.int64()), pa.array(missing, pa.int64()), flat], ["a", "b", "linked", "added", "missing", "diffs"])
+            yield pa.RecordBatch.from_arrays([*pair.columns, pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(added, pa.int64()), pa.array(missing, pa.int64()), flat], ["a", "b", "linked", "close", "added", "missing", "diffs"])
 
     some = _of_pairs(texts, pairs)
     one = some.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = some.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return map_arrow(met, run, "a binary, b binary, linked boolean, added bigint, missing bigint, diffs array<bigint>")
+    return map_arrow(met, run, "a binary, b binary, linked boolean, close boolean, added bigint, missing bigint, diffs array<bigint>")
 
 
-def _by_differences(compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs, across components, of a member not linked to its hub and another that shares an addition to the hub.
+def _difference_lists(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(b, e, a, d, u, pre, df): members of hub b in the lists of their differences e from it; u: not linked to b.
 
-    Let x be unlinked to hub b, and y linked to x. Then x shares more than
-    ``c * added + (1 - c) * missing`` of y's differences from b, where c is
-    t / (1 + t) for similarity t; where y adds no less than it lacks, additions
-    are among them. So x and y meet in the list of an addition to b. Each list
-    is again a star: its unlinked members meet the one that differs least from
-    the hub, so pairs grow with members and not with their square.
+    Let x be unlinked to hub b, and y linked to x. Then they share more than
+    (t * added + missing) / (1 + t) of y's differences from b, for similarity t,
+    so one of them is among all but so many of y's rarest (``pre``), where rarest
+    puts those first that no unlinked member shares. Linked members are listed
+    by these only. Two unlinked members meet where both have the difference in ``pre``.
     """
     comp = labels.select(F.col("node").alias("a"), "comp")
     rows = compared.join(comp, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     # hubs with an unlinked member, and members of several components
     live = rows.groupBy("b").agg((F.min("comp") != F.max("comp")).alias("m"), F.bool_and("linked").alias("l")).filter("m AND NOT l").select("b")
-    rows = rows.join(live, "b", "left_semi")
-    shown = cut(rows.select("a", "b", "comp", "linked", (F.col("added") + F.col("missing")).alias("d"), F.explode(F.slice("diffs", F.lit(1), F.col("added").cast("int"))).alias("e")))
-    best = shown.groupBy("b", "e").agg(F.min(F.struct("d", "a", "comp")).alias("best"))
-    met = shown.filter("NOT linked").join(best, ["b", "e"]).filter(F.col("comp") != F.col("best.comp"))
-    return met.select(F.greatest("a", "best.a").alias("a"), F.least("a", "best.a").alias("b")).distinct()
+    rows = rows.join(live, "b", "left_semi").withColumn("u", ~F.col("linked")).withColumn("d", F.col("added") + F.col("missing"))
+    need = F.floor((F.col("added") * percent + F.col("missing") * 100) / F.lit(100.0 + percent)) + 1
+    shown = cut(rows.select("a", "b", "u", "d", need.alias("need"), F.explode("diffs").alias("e")))
+    shared = shown.groupBy("b", "e").agg(F.count(F.lit(1)).alias("df"), F.bool_or("u").alias("some")).filter("some AND df > 1").drop("some")
+    ranked = shown.join(shared, ["b", "e"]).groupBy("a", "b", "u", "d", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("vals"))
+    listed = ranked.select("a", "b", "u", "d", (F.size("vals") - F.col("need") + 1).alias("upto"), F.posexplode("vals").alias("at", "v"))
+    return listed.select("b", "v.e", "a", "d", "u", (F.col("at") < F.col("upto")).alias("pre"), "v.df").filter("u OR pre")
+
+
+def _by_differences(compared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """``labels`` after the links between members near a hub that are not both linked to it.
+
+    Each list of a difference is a star again: its members meet the one that
+    differs least from the hub, then more and more of the unlinked ones, until
+    the list is one component or every unlinked member has met all others.
+    """
+    lists = cut(_difference_lists(compared, labels, percent))
+    done = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    turn = 0
+    while True:
+        named = lists.join(labels.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+        unsettled = named.groupBy("b", "e").agg((F.min("comp") != F.max("comp")).alias("m"), F.bool_or("u").alias("some")).filter("m AND some").select("b", "e")
+        named = cut(named.join(unsettled, ["b", "e"], "left_semi"))
+        if not named.take(1):
+            return labels
+        if turn == 0:
+            centres = named.filter("pre").groupBy("b", "e").agg(F.min(F.struct("d", "a", "comp", "u", "pre")).alias("c")).select("b", "e", "c")
+        else:
+            centres = named.filter(F.col("u") & _turn_of(turn, "e", "a")).select("b", "e", F.struct("d", "a", "comp", "u", "pre").alias("c"))
+        centres = cut(centres)
+        meet = "comp <> c.comp AND (u OR c.u) AND (NOT (u AND c.u) OR (pre AND c.pre))"
+        met = named.join(centres, ["b", "e"]).filter(meet)
+        pairs = cut(met.select(F.greatest("a", "c.a").alias("a"), F.least("a", "c.a").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+        likely = cut(_plausible(pairs, classes, k, least_overlap(k, percent) / k))
+        links = cut(_compared(likely, texts, width, percent).filter("linked").select("a", "b"))
+        if links.take(1):
+            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
+        done = done.unionByName(pairs)
+        met_all = centres.filter("c.u").select("b", "e", F.col("c.a").alias("a"))
+        lists = cut(named.drop("comp").join(met_all, ["b", "e", "a"], "left_anti"))
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY, k: int = K) -> DataFrame:
@@ -237,11 +279,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
         likely = cut(_plausible(pairs, classes, k, PLAUSIBLE))
         found = cut(_compared(likely, texts, width, percent))
         tables.append(found)
-        # hubs have met all; what is linked to one is settled with it, and what is near one by differences
-        seen = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.when(F.col("linked"), 2).otherwise(1).alias("s"))
+        # hubs have met all; what is linked to one is settled with it, and what is close to one by differences
+        seen = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.when(F.col("linked"), 2).when(F.col("close"), 1).otherwise(0).alias("s"))
         state = met.join(seen, ["node", "hub"]).groupBy("value", "node").agg(F.max("s").alias("s"))
         left = lists.join(hubs.select("value", F.col("hub").alias("node")), ["value", "node"], "left_anti").join(state, ["value", "node"], "left")
-        left = left.filter("s IS NULL OR s < 2").withColumn("near", F.col("near") | F.col("s").isNotNull()).drop("s")
+        left = left.filter("s IS NULL OR s < 2").withColumn("near", F.col("near") | F.coalesce(F.col("s") == 1, F.lit(False))).drop("s")
         more = left.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.bool_and("near").alias("all_near")).filter("c > 1 AND NOT all_near").select("value")
         lists = cut(left.join(more, "value", "left_semi"))
         turn += 1
@@ -252,9 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
             compared = compared.unionByName(other)
         links = compared.filter("linked").select("a", "b")
         labels = connected_components(links)
-        again = cut(_compared(cut(_by_differences(compared, labels)), texts, width, percent).filter("linked").select("a", "b"))
-        if again.take(1):
-            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(again))
+        labels = _by_differences(compared, labels, classes, texts, width, percent, k)
     if labels is None:
         named = classes.select("node", F.col("least").alias("component_id"))
     else:
