@@ -164,3 +164,15 @@ def test_families_with_optional_sections(spark):
             words = part("base", 150) + sum((part(f"s{s}_", 18) for s in range(7) if rng.random() < 0.5), []) + part(f"own{x}_", rng.randint(0, 3))
             rows.append((len(rows), " ".join(words)))
     meets_brute_force(spark, rows)
+
+
+def test_members_that_share_what_they_lack(spark):
+    rng, rows = random.Random(12), []
+    for f in range(20):
+        page = [f"f{f}w{j}" for j in range(1000)]
+        gone = set(rng.sample(page, 140))
+        for x in range(20):
+            rows.append((len(rows), " ".join(page + [f"f{f}x{x}_{j}" for j in range(rng.randint(1, 20))])))
+        for x in range(2):
+            rows.append((len(rows), " ".join([w for w in page if w not in gone] + [f"f{f}y{x}_{j}" for j in range(100)])))
+    meets_brute_force(spark, rows)
