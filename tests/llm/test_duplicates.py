@@ -176,3 +176,10 @@ def test_members_that_share_what_they_lack(spark):
         for x in range(2):
             rows.append((len(rows), " ".join([w for w in page if w not in gone] + [f"f{f}y{x}_{j}" for j in range(100)])))
     meets_brute_force(spark, rows)
+
+
+def test_groups_without_an_id_of_their_own(spark):
+    rows = [(None, f"{c}1 {c}2 {c}3") for c in "abcd"] + [(None, "a1 a2 a3"), (7, "p q r"), (7, "s t u"), (8, "s t u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, minhash.keep_one(df, 1).collect()), key=str)
+    assert got == sorted({r for r in rows if r[0] != 8}, key=str)

@@ -260,7 +260,7 @@ def _by_differences(compared: DataFrame, labels: DataFrame, classes: DataFrame,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY, k: int = K) -> DataFrame:
-    """doc_id, h, n_shingles, component_id, kept: one row a document."""
+    """doc_id, h, n_shingles, component_id, kept, comp (names the component, by a set in it): one row a document."""
     every = cut(sketches(docs, width, k))
     some = every.filter("n > 0")
     classes = cut(some.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min("h").alias("h")))
@@ -296,20 +296,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
         labels = connected_components(links)
         labels = _by_differences(compared, labels, classes, texts, width, percent, k)
     if labels is None:
-        named = classes.select("node", F.col("least").alias("component_id"))
+        named = classes.select("node", F.col("least").alias("component_id"), F.col("node").alias("comp"))
     else:
         owner = classes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = owner.join(owner.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
+        named = owner.join(owner.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", "comp")
     full = every.select("doc_id", "h", "n", "node").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return full.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return full.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "comp")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """One document of each group of near-duplicates, columns unchanged; documents without words all stay."""
+    """One document of each group of near-duplicates, columns unchanged; documents without words all stay.
+
+    Groups are those of the texts: different texts without an id, or under one id, are groups of their own.
+    """
     found = near_duplicates(docs, width, percent)
     single = found.filter("n_shingles = 0").select("h").distinct()
-    grouped = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.when(F.col("kept"), F.col("h"))).alias("h")).select("h")
+    grouped = found.filter("n_shingles > 0").groupBy("comp").agg(F.min(F.when(F.col("kept"), F.col("h"))).alias("h")).select("h")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("h"))
     one = rows.join(grouped, "h", "left_semi").dropDuplicates(["h"])
     return one.unionByName(rows.join(single, "h", "left_semi")).select("_row.*")
