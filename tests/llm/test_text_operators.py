@@ -70,6 +70,28 @@ def test_quotes(spark):
     assert quotes.linked_conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_of_several_pieces(spark):
+    first = "The first line of the letter\nYes, agreed.\nThe third line of the letter\n\nA paragraph on\ntwo lines here\n\nThe last paragraph of it"
+    rows = [
+        (1, 0, first),
+        (1, 1, "> The first line of the letter\n> Yes, agreed.\ntwo of the lines"),
+        (1, 2, "> A paragraph on two\n> lines here\n>\n> The last paragraph of it\ntwo of the paragraphs"),
+        (1, 3, "> Yes, agreed.\na short quote"),
+        (1, 4, "> Yes, agreed.\n> two of the lines\npieces of two messages"),
+        (2, 0, "> The third line of the letter\n> The first line of the letter\nfrom elsewhere"),
+        (2, 1, "> Yes, agreed.\nshort, from elsewhere"),
+        (3, 0, "Yes\nsame words folded on one line"),
+        (3, 1, "Yes same words\nfolded on one line"),
+        (3, 2, "Yes same words\nfolded on one line\nand more of it"),
+        (3, 3, "> folded on one line\n> Yes same words\nof the second"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    got = quotes.linked_conversations(df).select("_row.conv_id", "_row.turn", "n_linked", "parent_turn").collect()
+    by = {(r.conv_id, r.turn): (r.n_linked, r.parent_turn) for r in got}
+    assert [by[(1, t)] for t in range(5)] == [(0, None), (1, 0), (1, 0), (1, 0), (0, None)]
+    assert by[(2, 0)] == (1, None) and by[(2, 1)] == (0, None) and by[(3, 3)] == (1, 1)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -4,10 +4,14 @@ Messages are parsed line by line: ``>`` marks at the start of a line give its
 quote level, nested levels included; lines of one level that follow each other
 make a passage. A passage is normalised (case, punctuation and white space
 folded) and hashed. What a message says itself is hashed likewise: as a whole,
-by paragraph and by line. Each quoted passage is joined to the message that
-said it: the first one in its conversation, before the quoting one, or else the
-first one anywhere in the corpus. Both sides are reduced to one row a hash
-before they join, so a passage that many messages quote or say costs no pairs.
+by paragraph and by line. A passage is said by a message if its hash is among
+those, or if all its lines, or all its paragraphs, are. Each quoted passage is
+joined to the message that said it: the first one in its conversation, before
+the quoting one, or else the first one anywhere in the corpus. Both sides are
+reduced to one row a hash before they join, so a passage that many messages
+quote or say costs no pairs. Passages of several pieces are reduced to one row
+a set of pieces, and meet the messages that say their rarest piece; of messages
+that say the same, only the first one takes part.
 
 A message replies to the message that its outermost linked passage quotes, in
 its own conversation; a thread is all that replies, directly or not, to one
@@ -37,8 +41,9 @@ from tidelog.llm.common import cut, map_arrow
 
 _MARKS = regex.compile(r"^(?:[ \t]{0,3}>)++[ \t]?")
 _ATTRIBUTION = regex.compile(r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.{1,80}\b(?:wrote|said))\s*:\s*$")
+_BLANK = regex.compile(r"\n[ \t\r]*\n")
 _FOLD = regex.compile(r"[\p{P}\p{S}\s]++")
-#: passages of fewer letters and digits are not linked
+#: passages of fewer characters are linked in their own conversation only; so are those whose pieces are all shorter
 LEAST_CHARS = 12
 
 
@@ -48,7 +53,21 @@ def normal(text: str) -> str:
 
 def passage_hash(text: str) -> bytes | None:
     folded = normal(text)
-    return hashlib.blake2b(folded.encode(), digest_size=16).digest() if len(folded) >= LEAST_CHARS else None
+    return hashlib.blake2b(folded.encode(), digest_size=16).digest() if folded else None
+
+
+def is_long(text: str) -> bool:
+    return len(normal(text)) >= LEAST_CHARS
+
+
+def piece_sets(text: str) -> list[dict]:
+    """The hashes of a passage's lines and of its paragraphs, where there are several, and whether a piece is long."""
+    found = {}
+    for pieces in (text.split("\n"), _BLANK.split(text)):
+        hashes = sorted({h for p in pieces if (h := passage_hash(p))})
+        if len(hashes) > 1:
+            found[tuple(hashes)] = any(map(is_long, pieces))
+    return [{"set": list(hashes), "far": far} for hashes, far in found.items()]
 
 
 def parse(text: str | None) -> tuple[str | None, list[tuple[int, str]]]:
@@ -78,19 +97,19 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, str]]]:
 def said_hashes(own: str | None) -> list[bytes]:
     if not own:
         return []
-    pieces = dict.fromkeys([own, *own.split("\n\n"), *own.split("\n")])
+    pieces = dict.fromkeys([own, *_BLANK.split(own), *own.split("\n")])
     return list(dict.fromkeys(h for p in pieces if (h := passage_hash(p))))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``_row``, mid (names the row), conv, turn, own (text without quotes), quoted (level, hash, text), said (hashes)."""
+    """``_row``, mid (names the row), conv, turn, own (text without quotes), quoted (level, hash, long, text, sets of pieces), said (hashes)."""
     packed = messages.select(
         F.struct(*[messages[c] for c in messages.columns]).alias("_row"),
         messages["conv_id"].cast("long").alias("conv"),
         messages["turn"].cast("long").alias("turn"),
         messages["text"].alias("_text"),
     )
-    schema = T.StructType([*packed.schema.fields[:3], *T._parse_datatype_string("own string, quoted array<struct<level:int,hash:binary,text:string>>, said array<binary>").fields])
+    schema = T.StructType([*packed.schema.fields[:3], *T._parse_datatype_string("own string, quoted array<struct<level:int,hash:binary,long:boolean,text:string,sets:array<struct<set:array<binary>,far:boolean>>>>, said array<binary>").fields])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[3:]]
@@ -100,24 +119,60 @@ def parsed(messages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 got = [parse(t) for t in batch.column(3).to_pylist()]
-                quoted = [[{"level": k, "hash": passage_hash(q), "text": q} for k, q in quotes] for _, quotes in got]
+                quoted = [[{"level": k, "hash": passage_hash(q), "long": is_long(q), "text": q, "sets": piece_sets(q)} for k, q in quotes] for _, quotes in got]
                 said = [said_hashes(own) for own, _ in got]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(v, k) for v, k in zip(([o for o, _ in got], quoted, said), kinds, strict=True)]], schema.names)
 
     return map_arrow(packed, run, schema)
 
 
+def _said_in_pieces(keyed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first message that says all pieces of a set: (conv, set, set_turn) in the conversation, and (set, set_first) in the corpus."""
+    sets = cut(sets)
+    known = sets.select(F.explode("set").alias("hash")).distinct()
+    # messages of a conversation that say the same are one, the first
+    own = keyed.filter("size(said) > 0").select("conv", "turn", F.xxhash64("said").alias("whole"), "said")
+    first = own.groupBy("conv", "whole").agg(F.min("turn").alias("turn"))
+    said = own.join(first, ["conv", "whole", "turn"], "left_semi").select("conv", "whole", "turn", F.explode("said").alias("hash"))
+    said = cut(said.join(known, "hash", "left_semi").distinct())
+
+    def matched(said: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:
+        """The messages (by ``scope`` and whole) that say all of a set."""
+        name = [*scope, "set"]
+        often = said.groupBy(*scope, "hash").agg(F.count(F.lit(1)).alias("df"))
+        counted = wanted.select(*name, F.explode("set").alias("hash")).join(often, [*scope, "hash"])
+        rare = counted.groupBy(*name).agg(F.min(F.struct("df", "hash")).alias("rare"), F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.size("set"))
+        met = rare.select(*name, F.col("rare.hash").alias("hash")).join(said, [*scope, "hash"]).select(*name, "whole", F.explode("set").alias("hash"))
+        held = met.join(said, [*scope, "whole", "hash"], "left_semi")
+        return held.groupBy(*name, "whole").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == F.size("set")).drop("k")
+
+    in_conv = matched(said, sets.select("conv", "set").distinct(), ["conv"]).join(first, ["conv", "whole"])
+    in_conv = in_conv.groupBy("conv", "set").agg(F.min("turn").alias("set_turn"))
+    anywhere = matched(said.select("whole", "hash").distinct(), sets.filter("far").select("set").distinct(), [])
+    firsts = first.groupBy("whole").agg(F.min(F.struct("conv", F.col("turn").alias("said_turn"))).alias("set_first"))
+    anywhere = anywhere.join(firsts, "whole").groupBy("set").agg(F.min("set_first").alias("set_first"))
+    return cut(in_conv), cut(anywhere)
+
+
 def linked_conversations(messages: DataFrame) -> DataFrame:
     """One row a message: ``_row``, own, n_quotes, n_linked, parent_turn, thread, depth."""
     every = cut(parsed(messages))
     keyed = every.filter("conv IS NOT NULL AND turn IS NOT NULL")
-    wanted = keyed.select("conv", "turn", F.posexplode("quoted").alias("at", "q")).select("conv", "turn", "at", "q.level", "q.hash").filter("hash IS NOT NULL").distinct()
-    hashes = wanted.select("hash").distinct()
+    wanted = keyed.select("conv", "turn", F.posexplode("quoted").alias("at", "q")).select("conv", "turn", "at", "q.level", "q.hash", "q.long", "q.sets").filter("hash IS NOT NULL").distinct()
+    wanted = cut(wanted)
+    hashes = wanted.groupBy("hash").agg(F.max("long").alias("long"))
     # only passages that somebody quotes are kept of what is said, one row a conversation and hash
-    said = cut(keyed.select("conv", "turn", F.explode("said").alias("hash")).join(hashes, "hash", "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("said_turn")))
-    corpus = said.groupBy("hash").agg(F.min(F.struct("conv", "said_turn")).alias("first"))
-    near = wanted.join(said, ["conv", "hash"], "left").withColumn("near", F.when(F.col("said_turn") < F.col("turn"), F.col("said_turn"))).drop("said_turn")
-    links = near.join(corpus, "hash", "left").withColumn("far", F.when(F.col("near").isNull() & (F.col("first.conv") != F.col("conv")), F.col("first")))
+    said = cut(keyed.select("conv", "turn", F.explode("said").alias("hash")).join(hashes, "hash").groupBy("conv", "hash", "long").agg(F.min("turn").alias("said_turn")))
+    corpus = said.filter("long").groupBy("hash").agg(F.min(F.struct("conv", "said_turn")).alias("first"))
+    near = wanted.join(said.drop("long"), ["conv", "hash"], "left")
+    links = near.join(corpus, "hash", "left")
+    pieces = wanted.select("conv", "turn", "at", "hash", F.inline("sets"))
+    in_conv, anywhere = _said_in_pieces(keyed, pieces.select("conv", "set", "far").distinct())
+    found = pieces.join(in_conv, ["conv", "set"], "left").join(anywhere, "set", "left")
+    found = found.groupBy("conv", "turn", "at", "hash").agg(F.min("set_turn").alias("set_turn"), F.min(F.when(F.col("far"), F.col("set_first"))).alias("set_first"))
+    links = links.join(found, ["conv", "turn", "at", "hash"], "left").withColumn("said_turn", F.least("said_turn", "set_turn")).withColumn("first", F.least("first", "set_first"))
+    links = links.withColumn("near", F.when(F.col("said_turn") < F.col("turn"), F.col("said_turn")))
+    links = links.withColumn("far", F.when(F.col("near").isNull() & (F.col("first.conv") != F.col("conv")), F.col("first")))
     found = F.col("near").isNotNull() | F.col("far").isNotNull()
     per = cut(
         links.groupBy("conv", "turn").agg(
