@@ -92,6 +92,14 @@ def test_quotes_of_several_pieces(spark):
     assert by[(2, 0)] == (1, None) and by[(2, 1)] == (0, None) and by[(3, 3)] == (1, 1)
 
 
+def test_quotes_from_elsewhere_that_are_said_later_too(spark):
+    rows = [(1, 0, "> one passage of the other"), (1, 1, "one passage of the other"), (2, 4, "one passage of the other")]
+    rows += [(3, 0, "> the first of two lines\n> and the second of them"), (3, 1, "the first of two lines\nand the second of them\nmore"), (4, 0, "and more\nthe first of two lines\nand the second of them")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    got = quotes.linked_conversations(df).select("_row.conv_id", "_row.turn", "n_linked", "parent_turn").collect()
+    assert {(r.conv_id, r.turn): (r.n_linked, r.parent_turn) for r in got if r.turn == 0 and r.conv_id < 4} == {(1, 0): (1, None), (3, 0): (1, None)}
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -126,8 +126,16 @@ def parsed(messages: DataFrame) -> DataFrame:
     return map_arrow(packed, run, schema)
 
 
+def _firsts(said: DataFrame, key: str) -> DataFrame:
+    """(key, first, second): the first (conv, said_turn) of each key, and the first one of another conversation."""
+    at = said.select(key, F.struct("conv", "said_turn").alias("at"))
+    first = at.groupBy(key).agg(F.min("at").alias("first"))
+    second = at.join(first, key).filter(F.col("at.conv") != F.col("first.conv")).groupBy(key).agg(F.min("at").alias("second"))
+    return first.join(second, key, "left")
+
+
 def _said_in_pieces(keyed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first message that says all pieces of a set: (conv, set, set_turn) in the conversation, and (set, set_first) in the corpus."""
+    """The first message that says all pieces of a set: (conv, set, set_turn) in the conversation, and (set, set_first, set_second) in the corpus, in two conversations."""
     sets = cut(sets)
     known = sets.select(F.explode("set").alias("hash")).distinct()
     # messages of a conversation that say the same are one, the first
@@ -149,8 +157,9 @@ def _said_in_pieces(keyed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     in_conv = matched(said, sets.select("conv", "set").distinct(), ["conv"]).join(first, ["conv", "whole"])
     in_conv = in_conv.groupBy("conv", "set").agg(F.min("turn").alias("set_turn"))
     anywhere = matched(said.select("whole", "hash").distinct(), sets.filter("far").select("set").distinct(), [])
-    firsts = first.groupBy("whole").agg(F.min(F.struct("conv", F.col("turn").alias("said_turn"))).alias("set_first"))
-    anywhere = anywhere.join(firsts, "whole").groupBy("set").agg(F.min("set_first").alias("set_first"))
+    firsts = _firsts(first.withColumnRenamed("turn", "said_turn"), "whole")
+    both = anywhere.join(firsts, "whole").select("set", F.explode(F.array("first", "second")).alias("at")).filter("at IS NOT NULL").select("set", "at.conv", "at.said_turn")
+    anywhere = _firsts(both, "set").withColumnsRenamed({"first": "set_first", "second": "set_second"})
     return cut(in_conv), cut(anywhere)
 
 
@@ -163,16 +172,17 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     hashes = wanted.groupBy("hash").agg(F.max("long").alias("long"))
     # only passages that somebody quotes are kept of what is said, one row a conversation and hash
     said = cut(keyed.select("conv", "turn", F.explode("said").alias("hash")).join(hashes, "hash").groupBy("conv", "hash", "long").agg(F.min("turn").alias("said_turn")))
-    corpus = said.filter("long").groupBy("hash").agg(F.min(F.struct("conv", "said_turn")).alias("first"))
+    corpus = _firsts(said.filter("long"), "hash")
     near = wanted.join(said.drop("long"), ["conv", "hash"], "left")
     links = near.join(corpus, "hash", "left")
     pieces = wanted.select("conv", "turn", "at", "hash", F.inline("sets"))
     in_conv, anywhere = _said_in_pieces(keyed, pieces.select("conv", "set", "far").distinct())
     found = pieces.join(in_conv, ["conv", "set"], "left").join(anywhere, "set", "left")
-    found = found.groupBy("conv", "turn", "at", "hash").agg(F.min("set_turn").alias("set_turn"), F.min(F.when(F.col("far"), F.col("set_first"))).alias("set_first"))
-    links = links.join(found, ["conv", "turn", "at", "hash"], "left").withColumn("said_turn", F.least("said_turn", "set_turn")).withColumn("first", F.least("first", "set_first"))
+    found = found.groupBy("conv", "turn", "at", "hash").agg(F.min("set_turn").alias("set_turn"), *[F.min(F.when(F.col("far") & (F.col(f"set_{c}.conv") != F.col("conv")), F.col(f"set_{c}"))).alias(f"set_{c}") for c in ("first", "second")])
+    links = links.join(found, ["conv", "turn", "at", "hash"], "left").withColumn("said_turn", F.least("said_turn", "set_turn"))
     links = links.withColumn("near", F.when(F.col("said_turn") < F.col("turn"), F.col("said_turn")))
-    links = links.withColumn("far", F.when(F.col("near").isNull() & (F.col("first.conv") != F.col("conv")), F.col("first")))
+    other = [F.when(F.col(f"{c}.conv") != F.col("conv"), F.col(c)) for c in ("first", "second")]
+    links = links.withColumn("far", F.when(F.col("near").isNull(), F.least(*other, "set_first", "set_second")))
     found = F.col("near").isNotNull() | F.col("far").isNotNull()
     per = cut(
         links.groupBy("conv", "turn").agg(
