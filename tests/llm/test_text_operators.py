@@ -143,6 +143,17 @@ def test_personal_data(spark, tmp_path):
     assert [r.text for r in clean.orderBy("_t").collect()] == ['écrire à [EMAIL] token = "[SECRET]" call [PHONE] now', None]
 
 
+def test_a_dropped_candidate_drops_no_other(spark, monkeypatch):
+    class Scores:
+        def __init__(self, sql):
+            self.sql = lambda names: sql
+
+    scores = {"email": Scores("0.95D"), "phone": Scores("0D"), "secret": Scores("IF(f.s = 0, 0.99D, 0.9D)")}
+    monkeypatch.setattr(pii, "models", lambda spark: {k: (m, 0.8) for k, m in scores.items()})
+    df = spark.createDataFrame([("a1" * 12 + " (at) " + "b2" * 12 + " (dot) com",)], "text string")
+    assert pii.PersonalData().redact(df).first().text == "[SECRET] (at) [SECRET] (dot) com"
+
+
 def test_boosted_trees_and_their_sql(spark):
     import numpy as np
 

@@ -186,8 +186,11 @@ class PersonalData:
         score = "CASE " + " ".join(f"WHEN f.kind = '{k}' THEN {m.sql(names)}" for k, (m, _) in found.items()) + " END"
         bound = "CASE " + " ".join(f"WHEN f.kind = '{k}' THEN {t!r}D" for k, (_, t) in found.items()) + " END"
         scored = once(scored, _s=F.expr(f"filter(transform(_f, f -> named_struct('kind', f.kind, 's', f.s, 'e', f.e, 'p', {score}, 't', {bound})), f -> f.p >= f.t)"))
-        better = "y.s < x.e AND x.s < y.e AND (y.p > x.p OR (y.p = x.p AND (y.s < x.s OR (y.s = x.s AND (y.e > x.e OR (y.e = x.e AND y.kind < x.kind))))))"
-        added = F.expr(f"transform(filter(_s, x -> NOT exists(_s, y -> {better})), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))")
+        # from the best on, each that overlaps none kept so far; of equals the first, then the longest
+        ranked = "array_sort(transform(_s, x -> named_struct('p', -x.p, 's', x.s, 'r', -x.e, 'kind', x.kind, 'e', x.e)))"
+        kept = "aggregate(_r, cast(array() AS array<struct<kind:string,s:int,e:int>>), (a, x) -> if(exists(a, y -> y.s < x.e AND x.s < y.e), a, array_append(a, named_struct('kind', x.kind, 's', x.s, 'e', x.e))))"
+        scored = once(scored, _r=F.expr(ranked))
+        added = F.expr(kept)
         base = F.expr("transform(_base, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))")
         return once(scored, base=base, added=added).select("_row", "_t", "base", "added")
 
