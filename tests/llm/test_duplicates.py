@@ -183,3 +183,41 @@ def test_groups_without_an_id_of_their_own(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(map(tuple, minhash.keep_one(df, 1).collect()), key=str)
     assert got == sorted({r for r in rows if r[0] != 8}, key=str)
+
+
+def test_truncated_copies(spark):
+    hub = [f"h{j}" for j in range(61)]
+    rows = [" ".join(hub + [f"t{c}"]) for c in range(3)] + [" ".join(hub[:43]), " ".join(hub[:41])]
+    rng = random.Random(13)
+    for g in range(60):
+        page = [f"g{g}w{j}" for j in range(rng.randint(20, 160))]
+        for _ in range(12):
+            words = page[rng.randint(0, len(page) // 5) : len(page) - rng.randint(0, len(page) // 3)]
+            for _ in range(rng.randint(0, max(1, len(page) // 30))):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    for width in (1, 2):
+        meets_brute_force(spark, list(enumerate(rows)), width)
+
+
+def test_a_large_family_of_edited_copies(spark):
+    rng = random.Random(14)
+    page, rows = [f"w{j}" for j in range(140)], []
+    for x in range(700):
+        words = list(page)
+        for j in rng.sample(range(140), rng.choice((2, 6, 9, 14, 20))):
+            words[j] = rng.choice((f"x{x}_{j}", f"c{j}", ""))
+        rows.append((x, " ".join(filter(None, words))))
+    meets_brute_force(spark, rows, 2)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    long = " ".join(f"v{rng.randrange(40000)}" for _ in range(120000))
+    rows = [(1, long), (2, long + " tail"), (3, long[: len(long) // 2]), (4, "a b c"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(0) for c in ("h", "n", "node", "name", "sketch", "comp", "value")})
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert sorted(r.doc_id for r in minhash.keep_one(df, 2).collect()) == [1, 3, 4, 5]

@@ -4,22 +4,23 @@
    hashes; the ``k`` smallest are its sketch. Documents with equal sets form a
    class and go on as one.
 2. Inverted lists of retained values generate overlaps. A pair at the threshold
-   shares its sketches' values as binomial draws, so ``overlap`` shared values
-   (6.5 deviations below the mean) miss no link in practice, and a pair that
-   shares so many meets in at least one of the ``k - overlap + 1`` values that
-   are rarest in the corpus. Only those make lists, which keeps common
-   shingles and passages out of them. Sketches that hold a whole set are exact.
-3. Lists emit stars, not pairs. Every member meets the list's most popular one,
-   its hub. The union sketch (the ``k`` smallest of two sketches together)
-   estimates the similarity and filters pairs; full sets from the texts confirm.
-   Pairs of two members then need no meeting: members linked to the hub are one
-   component; a member far from the hub (below ``NEAR``) cannot be linked to one
-   that is linked to the hub, by the triangle inequality of the Jaccard
-   distance; and members near it meet where they share differences from the hub
-   (``_by_differences``). Members close to no hub go on with further hubs, more
-   each round, until none is left. A group of near copies costs a few pairs a
-   member.
-4. Links make components by contraction (``components``).
+   shares its sketches' values as binomial draws, so it meets in at least one of
+   the ``k - overlap + 1`` values of each that are rarest in the corpus, but for
+   one pair in 10**9 (6.5 deviations; sketches that hold whole sets are exact).
+   Only those make lists, which keeps common shingles and passages out of them.
+3. Lists emit stars, not pairs: every member meets the list's most popular one.
+   The union sketch (the ``k`` smallest of two sketches together) estimates the
+   similarity and filters pairs; full sets from the texts confirm. Links make
+   components by contraction (``components``).
+4. What is left are lists whose members, without their hub, are still of several
+   components and near enough in size. Only those members go on, with their full
+   sets: shingles rank by how many of these sets hold them, and a set that can be
+   linked to a partner of some size shares one of its rarest shingles, up to a
+   rank that follows from both sizes and the similarity, exactly. Pairs are of
+   different components, one side always outside the component that most of a
+   list belongs to, and sizes meet by bands, so a family of near copies that are
+   linked through its most popular one makes few. The pair that shares most is
+   confirmed first for each set; pairs within one component need no look.
 
 Defined results: words are split at spaces and U+0009 to U+000D, A-Z lower-cased.
 A document with fewer words than a shingle is its whole sequence as one; without
@@ -27,7 +28,8 @@ words, or with a null text, its set is empty and it is linked with nothing (not
 even with another empty one). A null id counts as no id: it never becomes a
 component's id while another member has one. Repeated rows are copies and link;
 all rows of the id that names the component count as kept. An empty table gives
-an empty table. Extra columns are ignored by the query and kept by ``keep_one``.
+an empty table. Very long texts are one set like others. Extra columns, whatever
+their names, are ignored by the query and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -40,17 +42,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, documents, map_arrow, mix, prefix_hashes, range_hashes, word_bounds
+from tidelog.llm.common import cut, documents, free, map_arrow, maybe_in, mix, prefix_hashes, range_hashes, word_bounds
 from tidelog.llm.components import connected_components
 
 K = 64
 SIMILARITY = 80  # per cent
-#: hubs of a list in round 1, and their growth by round
-HUBS, GROWTH = 16, 8
-#: members this similar to a hub are compared by their differences from it; at most 1 - 2 * (1 - similarity)
-NEAR = 0.5
-#: shared part of the union sketch from which a pair may be near: 4.5 deviations below ``NEAR`` at k = 64
-PLAUSIBLE = 0.22
+#: sizes of sets in one band differ by this factor at most
+BAND = 1.05
 
 
 def least_overlap(k: int, percent: int) -> int:
@@ -64,243 +62,216 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     starts, ends = word_bounds(data)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     words = range_hashes(prefix_hashes(data), starts, ends)
     width = min(width, len(words))
     many = len(words) - width + 1
     acc = np.full(many, width, np.uint64)
     for j in range(width):
         acc = acc * np.uint64(0x9FB21C651E98DF25) + words[j : j + many]
-    return np.unique(mix(acc))
+    return np.unique(mix(acc).view(np.int64))
 
 
 def set_name(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, h (of id and text), n (size of the set), node (name of the set), sketch (the k smallest hashes)."""
+    """doc_id, h (of id and text), n (size of the set), name (of the set), sketch (the k smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
-                kept = [s[:k].view(np.int64) for s in sets]
-                ends = pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_name(s) for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64))),
-                    ],
-                    ["doc_id", "h", "n", "node", "sketch"],
-                )
+                sizes, names, kept = [], [], []
+                for text in batch.column(2).to_pylist():
+                    hashes = shingles(text, width)
+                    sizes.append(len(hashes))
+                    names.append(set_name(hashes))
+                    kept.append(hashes[:k])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _lists(kept)], ["doc_id", "h", "n", "name", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-    return map_arrow(slim, run, f"doc_id {kind}, h bigint, n bigint, node binary, sketch array<bigint>")
+    return map_arrow(slim, run, f"doc_id {kind}, h bigint, n bigint, name binary, sketch array<bigint>")
+
+
+def classes_of(every: DataFrame) -> DataFrame:
+    """node (a number), name, n, sketch, least (doc_id) and h (of one document) of each set that is not empty."""
+    per = every.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min("h").alias("h"))
+    return per.withColumn("node", F.monotonically_increasing_id())
 
 
 def inverted_lists(classes: DataFrame, k: int, overlap: int, percent: int) -> DataFrame:
-    """(value, node, n, pop, df, near): the rarest retained values of each class, in lists of two classes or more; ``pop`` is how often others retain its values."""
-    held = classes.select("node", "n", F.explode("sketch").alias("value"))
+    """(value, node, n, pop): the rarest retained values of each class that another class retains too; ``pop`` is how often others retain its values."""
+    held = classes.select("node", F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = held.join(shared, "value")
+    rare = held.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"), F.sum("df").alias("pop"))
     size = F.least(F.col("n"), F.lit(k))
     # a sketch that is the whole set must share as much of it as the similarity asks of the set itself
     need = F.when(F.col("n") <= k, F.least(F.ceil(F.col("n") * percent / F.lit(100.0)), F.lit(overlap))).otherwise(F.lit(overlap))
-    rare = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"), F.sum("df").alias("pop"))
     # values that no other class retains come first in the order of rarity and make no list
-    prefix = size - need + 1 - (size - F.size("vals"))
-    kept = rare.filter(prefix > 0).select("node", "n", "pop", F.explode(F.slice("vals", F.lit(1), prefix.cast("int"))).alias("v"))
-    return kept.select(F.col("v.value").alias("value"), "node", "n", "pop", F.col("v.df").alias("df"), F.lit(False).alias("near"))
+    prefix = F.size("vals") - need + 1
+    kept = rare.join(classes.select("node", "n"), "node").filter(prefix > 0)
+    return kept.select("node", "n", "pop", F.explode(F.slice("vals", F.lit(1), prefix.cast("int"))).alias("v")).select("v.value", "node", "n", "pop")
 
 
-def _turn_of(turn: int, value: str, node: str) -> Column:
-    """Whether a member of a list of ``df`` is a hub in this turn, from 1 on: each is in one of them."""
-    begin, end = (HUBS * (GROWTH**t - 1) / (GROWTH - 1) for t in (turn - 1, turn))
-    u = F.pmod(F.xxhash64(value, node), F.lit(1 << 30)).cast("double") / float(1 << 30) * F.col("df")
-    return (u >= begin) & (u < end)
+def stars(lists: DataFrame) -> DataFrame:
+    """(value, node, n, hub, hub_n): every member of a list beside its most popular one."""
+    hubs = lists.groupBy("value").agg(F.max(F.struct("pop", "node", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    hubs = hubs.select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    return lists.join(hubs, "value").filter("node <> hub").select("value", "node", "n", "hub", "hub_n")
 
 
-def _hubs(lists: DataFrame, turn: int) -> DataFrame:
-    """(value, hub, hub_n): the most popular open member of each list at first, then more and more of them."""
-    held = lists.filter("NOT near")
-    if turn == 0:
-        return held.groupBy("value").agg(F.max(F.struct("pop", "node", "n")).alias("h")).select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    return held.filter(_turn_of(turn, "value", "node")).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+def plausible(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose union sketch leaves the similarity possible."""
+    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("both"))
+    shared, size = F.size(F.array_intersect("both", "u")), F.size("u")
+    # fewer than k values are the whole union
+    return met.filter(F.when(size < k, 100 * shared >= percent * size).otherwise(shared >= least_overlap(k, percent))).select("a", "b")
 
 
-def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of nodes that the pairs name: later rounds have few, and wide rows are not moved for the others."""
-    named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    return cut(rows.join(named, "node", "left_semi"))
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, n, hashes) of the wanted (node, name, h): the texts are read again and only those of wanted hashes move."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
+                # two rows may share h; the name tells whose text this is
+                same = pa.array([set_name(s) == n for s, n in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+                made = pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "hashes"])
+                yield made.filter(same)
 
-def _plausible(pairs: DataFrame, classes: DataFrame, k: int, margin: float) -> DataFrame:
-    """Pairs whose union sketch leaves a similarity of ``NEAR`` possible."""
-    some = _of_pairs(classes.select("node", "sketch"), pairs)
-    one = some.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    two = some.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    source = maybe_in(docs.select(F.xxhash64("doc_id", "text").alias("h"), "text"), "h", wanted)
+    texts = source.join(wanted, "h").select("node", "name", "text")
+    return map_arrow(texts, run, "node bigint, n bigint, hashes array<bigint>").dropDuplicates(["node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            lv, rv = left.flatten().to_numpy().view(np.uint64), right.flatten().to_numpy().view(np.uint64)
-            lo, ro = np.cumsum([0, *np.diff(left.offsets.to_numpy())]), np.cumsum([0, *np.diff(right.offsets.to_numpy())])
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]]
-                both = np.sort(np.concatenate([x, y]))
-                twice = both[1:] == both[:-1]
-                distinct = both[np.concatenate([[True], ~twice])][:k]
-                shared = np.count_nonzero(both[1:][twice] <= distinct[-1])
-                whole = len(x) < k and len(y) < k
-                keep.append(shared >= (margin if not whole else 0) * len(distinct))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked, close, added, missing, diffs) of pairs whose full sets are ``NEAR`` or more: how a differs from b.
-
-    ``diffs`` holds what a adds to b's set and then what it lacks of it. Whatever is linked to a is ``NEAR`` b if they are ``close``.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
-        for batch in batches:
-            keep, linked, close, added, missing, diffs = [], [], [], [], [], []
-            for hub, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if hub != last:
-                    last, known = hub, shingles(tb, width)
-                own = shingles(ta, width)
-                inside = np.isin(own, known, assume_unique=True)
-                both = int(np.count_nonzero(inside))
-                union = len(own) + len(known) - both
-                keep.append(both >= NEAR * union)
-                if keep[-1]:
-                    more = own[~inside]
-                    less = known[~np.isin(known, own, assume_unique=True)]
-                    linked.append(100 * both >= percent * union)
-                    close.append(100 * both >= (100 * NEAR + 100 - percent) * union)
-                    added.append(len(more))
-                    missing.append(len(less))
-                    diffs.append(np.concatenate([more, less]).view(np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, diffs)]).astype(np.int32))
-            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(diffs) if diffs else np.zeros(0, np.int64)))
-            pair = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*pair.columns, pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(added, pa.int64()), pa.array(missing, pa.int64()), flat], ["a", "b", "linked", "close", "added", "missing", "diffs"])
-
-    some = _of_pairs(texts, pairs)
-    one = some.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    two = some.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return map_arrow(met, run, "a binary, b binary, linked boolean, close boolean, added bigint, missing bigint, diffs array<bigint>")
-
-
-def _difference_lists(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(b, e, a, d, u, pre, df): members of hub b in the lists of their differences e from it; u: not linked to b.
-
-    Let x be unlinked to hub b, and y linked to x. Then they share more than
-    (t * added + missing) / (1 + t) of y's differences from b, for similarity t,
-    so one of them is among all but so many of y's rarest (``pre``), where rarest
-    puts those first that no unlinked member shares. Linked members are listed
-    by these only. Two unlinked members meet where both have the difference in ``pre``.
-    """
-    comp = labels.select(F.col("node").alias("a"), "comp")
-    rows = compared.join(comp, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    # hubs with an unlinked member, and members of several components
-    live = rows.groupBy("b").agg((F.min("comp") != F.max("comp")).alias("m"), F.bool_and("linked").alias("l")).filter("m AND NOT l").select("b")
-    rows = rows.join(live, "b", "left_semi").withColumn("u", ~F.col("linked")).withColumn("d", F.col("added") + F.col("missing"))
-    need = F.floor((F.col("added") * percent + F.col("missing") * 100) / F.lit(100.0 + percent)) + 1
-    shown = cut(rows.select("a", "b", "u", "d", need.alias("need"), F.explode("diffs").alias("e")))
-    shared = shown.groupBy("b", "e").agg(F.count(F.lit(1)).alias("df"), F.bool_or("u").alias("some")).filter("some AND df > 1").drop("some")
-    ranked = shown.join(shared, ["b", "e"]).groupBy("a", "b", "u", "d", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("vals"))
-    listed = ranked.select("a", "b", "u", "d", (F.size("vals") - F.col("need") + 1).alias("upto"), F.posexplode("vals").alias("at", "v"))
-    return listed.select("b", "v.e", "a", "d", "u", (F.col("at") < F.col("upto")).alias("pre"), "v.df").filter("u OR pre")
-
-
-def _by_differences(compared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """``labels`` after the links between members near a hub that are not both linked to it.
-
-    Each list of a difference is a star again: its members meet the one that
-    differs least from the hub, then more and more of the unlinked ones, until
-    the list is one component or every unlinked member has met all others.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("sb"))
+    met = pairs.select("a", "b").join(one, "a").join(two, "b")
+    met = met.select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return met.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
+def _with_component(rows: DataFrame, labels: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
+    known = labels.select(F.col("node").alias(node), F.col("comp").alias("_comp"))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce("_comp", node)).drop("_comp")
+
+
+def unsettled(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share a list, not as its hub, with a node of another component and of a size that a link allows."""
+    rows = _with_component(met.select("value", "node", "n"), labels)
+    rows = cut(rows.withColumn("q", F.floor(F.log("n") / F.log(F.lit(100 / percent)))))
+    seen = rows.groupBy("value", "q").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    several = seen.groupBy("value").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("value")
+    seen = seen.join(several, "value", "left_semi")
+    near = rows.select("value", "node", "n", "comp", F.explode(F.array(F.col("q") - 1, F.col("q"), F.col("q") + 1)).alias("q"))
+    other = f"(lo <> comp OR hi <> comp) AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least"
+    return near.join(seen, ["value", "q"]).filter(other).select("node").distinct()
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(BAND))).cast("int")
+
+
+def candidates(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared): pairs of different components that can be linked, by prefixes of full sets; ``shared`` counts the values they meet in.
+
+    Let v be the first value that x and y share in one order of all values, at
+    ranks i and j from 0. They share at most |x| - i, and |y| - j, and must share
+    p / (100 + p) * (|x| + |y|). So |y| is at most (|x| - i) * (100 + p) / p - |x|,
+    the ``reach`` of x at i, and the same holds the other way.
     """
-    lists = cut(_difference_lists(compared, labels, percent))
-    done = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    turn = 0
+    shown = sets.select("node", F.explode("hashes").alias("value"))
+    common = shown.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = shown.join(common, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"))
+    ranked = _with_component(ranked.join(sets.select("node", "n"), "node"), labels)
+    least = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("long")
+    alone = F.col("n") - F.size("vals")  # values that no other set holds have the first ranks
+    upto = F.col("n") - alone - F.ceil((F.col("n") + least) * percent / F.lit(100.0 + percent)) + 1
+    listed = ranked.filter(upto > 0).select("node", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("vals", F.lit(1), upto.cast("int"))).alias("at", "v"))
+    reach = F.floor((F.col("n") - F.col("alone") - F.col("at")) * F.lit(100.0 + percent) / F.lit(percent)).cast("long") - F.col("n")
+    entries = cut(listed.select("v.value", "node", "n", "comp", reach.alias("reach")).filter(F.col("reach") >= least))
+    mixed = entries.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("many"))
+    entries = entries.join(mixed.filter("many > 1"), "value").withColumn("minor", F.col("comp") != F.col("major")).drop("major", "many")
+    entries = cut(entries)
+    index = entries.filter("reach >= n").select("value", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp", "reach", "minor")])
+    probe = entries.withColumn("band", F.explode(F.sequence(_band(least), _band(F.least("n", "reach")))))
+    able = (
+        (F.col("comp") != F.col("b_comp")) & (F.col("b_n") <= F.col("reach")) & (F.col("n") <= F.col("b_reach")) & (100 * F.col("b_n") >= percent * F.col("n"))
+        & ((F.col("n") > F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("node") > F.col("b_node"))))
+    )
+    keys = ["value", "band"]
+    found = probe.filter("minor").join(index, keys).filter(able).unionByName(probe.filter("NOT minor").join(index.filter("b_minor"), keys).filter(able))
+    pair = found.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b"))
+    return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
+
+
+def _settle(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, first: int = 2) -> DataFrame:
+    """``labels`` after all linked pairs: twice each node's likeliest pair, then every pair that still joins two components."""
+    left, turn = cut(pairs), 0
     while True:
-        named = lists.join(labels.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-        unsettled = named.groupBy("b", "e").agg((F.min("comp") != F.max("comp")).alias("m"), F.bool_or("u").alias("some")).filter("m AND some").select("b", "e")
-        named = cut(named.join(unsettled, ["b", "e"], "left_semi"))
-        if not named.take(1):
+        rows = _with_component(_with_component(left, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b", "shared")
+        open_pairs = cut(rows)
+        free(left)
+        if not open_pairs.take(1):
             return labels
-        if turn == 0:
-            centres = named.filter("pre").groupBy("b", "e").agg(F.min(F.struct("d", "a", "comp", "u", "pre")).alias("c")).select("b", "e", "c")
-        else:
-            centres = named.filter(F.col("u") & _turn_of(turn, "e", "a")).select("b", "e", F.struct("d", "a", "comp", "u", "pre").alias("c"))
-        centres = cut(centres)
-        meet = "comp <> c.comp AND (u OR c.u) AND (NOT (u AND c.u) OR (pre AND c.pre))"
-        met = named.join(centres, ["b", "e"]).filter(meet)
-        pairs = cut(met.select(F.greatest("a", "c.a").alias("a"), F.least("a", "c.a").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
-        likely = cut(_plausible(pairs, classes, k, least_overlap(k, percent) / k))
-        links = cut(_compared(likely, texts, width, percent).filter("linked").select("a", "b"))
+        asked, left = open_pairs, None
+        if turn < first:
+            ends = open_pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("shared", "a", "b").alias("pair"))
+            asked = cut(ends.groupBy("node").agg(F.max("pair").alias("p")).select("p.a", "p.b").distinct())
+            left = cut(open_pairs.join(asked, ["a", "b"], "left_anti"))
+        links = cut(confirmed(asked, sets, percent))
         if links.take(1):
-            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
-        done = done.unionByName(pairs)
-        met_all = centres.filter("c.u").select("b", "e", F.col("c.a").alias("a"))
-        lists = cut(named.drop("comp").join(met_all, ["b", "e", "a"], "left_anti"))
+            labels = _relabelled(labels, links)
+        if left is None:
+            return labels
+        free(open_pairs)
         turn += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept, comp (names the component, by a set in it): one row a document."""
     every = cut(sketches(docs, width, k))
-    some = every.filter("n > 0")
-    classes = cut(some.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min("h").alias("h")))
+    classes = cut(classes_of(every))
     lists = cut(inverted_lists(classes, k, least_overlap(k, percent), percent))
-    # the texts of classes that lists hold, one of each, fetched once
-    wanted = lists.select("node").distinct().join(classes.select("node", "h"), "node")
-    source = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    texts = cut(source.join(wanted, "h").select("node", "text").dropDuplicates(["node"]))
-    tables: list[DataFrame] = []
-    turn = 0
-    while lists.take(1):
-        hubs = cut(_hubs(lists, turn))
-        met = lists.join(hubs, "value").filter("node <> hub")
-        sized = (F.col("n") >= NEAR * F.col("hub_n")) & (F.col("hub_n") >= NEAR * F.col("n"))
-        pairs = cut(met.filter(sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-        likely = cut(_plausible(pairs, classes, k, PLAUSIBLE))
-        found = cut(_compared(likely, texts, width, percent))
-        tables.append(found)
-        # hubs have met all; what is linked to one is settled with it, and what is close to one by differences
-        seen = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.when(F.col("linked"), 2).when(F.col("close"), 1).otherwise(0).alias("s"))
-        state = met.join(seen, ["node", "hub"]).groupBy("value", "node").agg(F.max("s").alias("s"))
-        left = lists.join(hubs.select("value", F.col("hub").alias("node")), ["value", "node"], "left_anti").join(state, ["value", "node"], "left")
-        left = left.filter("s IS NULL OR s < 2").withColumn("near", F.col("near") | F.coalesce(F.col("s") == 1, F.lit(False))).drop("s")
-        more = left.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.bool_and("near").alias("all_near")).filter("c > 1 AND NOT all_near").select("value")
-        lists = cut(left.join(more, "value", "left_semi"))
-        turn += 1
-    labels = None
-    if tables:
-        compared = tables[0]
-        for other in tables[1:]:
-            compared = compared.unionByName(other)
-        links = compared.filter("linked").select("a", "b")
-        labels = connected_components(links)
-        labels = _by_differences(compared, labels, classes, texts, width, percent, k)
-    if labels is None:
-        named = classes.select("node", F.col("least").alias("component_id"), F.col("node").alias("comp"))
-    else:
-        owner = classes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = owner.join(owner.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", "comp")
-    full = every.select("doc_id", "h", "n", "node").join(named, "node", "left")
+    met = cut(stars(lists))
+    free(lists)
+    sized = f"100 * n >= {percent} * hub_n AND 100 * hub_n >= {percent} * n"
+    pairs = cut(met.filter(sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    likely = cut(plausible(pairs, classes, k, percent))
+    free(pairs)
+    wanted = lambda nodes: cut(classes.select("node", "name", "h").join(nodes.distinct(), "node", "left_semi"))
+    sets = cut(full_sets(docs, wanted(likely.select(F.explode(F.array("a", "b")).alias("node"))), width))
+    links = cut(confirmed(likely, sets, percent))
+    free(sets, likely)
+    labels = connected_components(links)
+    open_nodes = cut(unsettled(met, labels, percent))
+    free(met)
+    if open_nodes.take(1):
+        sets = cut(full_sets(docs, wanted(open_nodes), width))
+        labels = _settle(candidates(sets, labels, percent), sets, labels, percent)
+        free(sets)
+    owner = _with_component(classes.select("node", "name", "least"), labels)
+    named = owner.join(owner.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("name", "component_id", "comp")
+    full = every.select("doc_id", "h", "n", "name").join(named, "name", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return full.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "comp")
 
@@ -320,3 +291,23 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM t
+), x AS (
+  SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, a.n, b.doc_id, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id, m.c = s.doc_id AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""
