@@ -45,14 +45,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: rows of a file, where a bound of a table's rows is known
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs a reread, and keeps the
-    table columnar and compressed. Tables are removed when the driver ends.
+    table columnar and compressed. ``rows``, a bound of narrow rows that is
+    known, keeps a small table from becoming a file a shuffle partition.
+    Tables are removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidelog-{uuid.uuid4().hex}"
+    if rows is not None and rows // FILE_ROWS < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(lambda: [_remove(spark, p) for p in _written])

@@ -3,15 +3,16 @@
 1. Every document becomes the set of its distinct word shingles, as 64-bit
    hashes; the ``k`` smallest are its sketch. Documents with equal sets form a
    class and go on as one.
-2. Inverted lists of retained values generate overlaps. A pair at the threshold
-   shares its sketches' values as binomial draws, so it meets in at least one of
-   the ``k - overlap + 1`` values of each that are rarest in the corpus, but for
-   one pair in 10**9 (6.5 deviations; sketches that hold whole sets are exact).
-   Only those make lists, which keeps common shingles and passages out of them.
+2. Inverted lists of retained values generate overlaps. A list holds the sketches
+   that retain the same ``RUN`` values one after the other in hash order; texts
+   that share passages only seldom do, linked ones do many times. A pair at the
+   threshold has no such run in common once in 10**10 times, and only one once
+   in 10**9. Sketches that hold whole sets make lists of single values besides,
+   the rarest ones that by the similarity one of must be shared: exactly.
 3. Lists emit stars, not pairs: every member meets the list's most popular one.
    The union sketch (the ``k`` smallest of two sketches together) estimates the
-   similarity and filters pairs; full sets from the texts confirm. Links make
-   components by contraction (``components``).
+   similarity and filters pairs, 6.5 deviations below the threshold; full sets
+   from the texts confirm. Links make components by contraction (``components``).
 4. What is left are lists whose members, without their hub, are still of several
    components and near enough in size. Only those members go on, with their full
    sets: shingles rank by how many of these sets hold them, and a set that can be
@@ -47,6 +48,8 @@ from tidelog.llm.components import connected_components
 
 K = 64
 SIMILARITY = 80  # per cent
+#: retained values that follow each other and make a list, and how many such lists a linked pair shares at least
+RUN, LEAST_LISTS = 3, 2
 #: sizes of sets in one band differ by this factor at most
 BAND = 1.05
 
@@ -107,25 +110,34 @@ def classes_of(every: DataFrame) -> DataFrame:
     return per.withColumn("node", F.monotonically_increasing_id())
 
 
-def inverted_lists(classes: DataFrame, k: int, overlap: int, percent: int) -> DataFrame:
-    """(value, node, n, pop): the rarest retained values of each class that another class retains too; ``pop`` is how often others retain its values."""
-    held = classes.select("node", F.explode("sketch").alias("value"))
-    shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    rare = held.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"), F.sum("df").alias("pop"))
-    size = F.least(F.col("n"), F.lit(k))
-    # a sketch that is the whole set must share as much of it as the similarity asks of the set itself
-    need = F.when(F.col("n") <= k, F.least(F.ceil(F.col("n") * percent / F.lit(100.0)), F.lit(overlap))).otherwise(F.lit(overlap))
-    # values that no other class retains come first in the order of rarity and make no list
-    prefix = F.size("vals") - need + 1
-    kept = rare.join(classes.select("node", "n"), "node").filter(prefix > 0)
-    return kept.select("node", "n", "pop", F.explode(F.slice("vals", F.lit(1), prefix.cast("int"))).alias("v")).select("v.value", "node", "n", "pop")
+def _listed_with_others(held: DataFrame) -> DataFrame:
+    """(value, node, df): the rows of (value, node) whose value several nodes hold."""
+    shared = cut(held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    return held.join(shared, "value").select("value", "node", "df")
 
 
-def stars(lists: DataFrame) -> DataFrame:
-    """(value, node, n, hub, hub_n): every member of a list beside its most popular one."""
-    hubs = lists.groupBy("value").agg(F.max(F.struct("pop", "node", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hubs = hubs.select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    return lists.join(hubs, "value").filter("node <> hub").select("value", "node", "n", "hub", "hub_n")
+def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(value, node, df): lists of runs of retained values, and of the rarest single values of whole sets."""
+    long = classes.filter(F.lit(100) * F.col("n") > percent * k)
+    slid = F.arrays_zip(*[F.slice("sketch", 1 + j, k).alias(f"v{j}") for j in range(RUN)])
+    runs = long.select("node", F.explode(slid).alias("r")).filter(F.col(f"r.v{RUN - 1}").isNotNull())
+    runs = _listed_with_others(runs.select(F.xxhash64("r.*").alias("value"), "node"))
+    # one of a set's rarest values must be shared, values that no other whole set holds coming first
+    whole = classes.filter(F.col("n") <= k)
+    ranked = _listed_with_others(whole.select("node", F.explode("sketch").alias("value")))
+    ranked = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals")).join(whole.select("node", "n"), "node")
+    prefix = F.size("vals") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
+    single = ranked.filter(prefix > 0).select("node", F.explode(F.slice("vals", F.lit(1), prefix.cast("int"))).alias("v"))
+    return runs.unionByName(single.select(F.xxhash64("v.value").alias("value"), "node", "v.df"))
+
+
+def stars(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(value, node, n, hub, hub_n): every member of a list beside its most popular one, which shares its lists with most."""
+    pops = lists.groupBy("node").agg(F.sum("df").alias("pop")).join(classes.select("node", "n"), "node")
+    told = lists.select("value", "node").join(cut(pops), "node")
+    hubs = told.groupBy("value").agg(F.max(F.struct("pop", "node", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    hubs = cut(hubs.select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
+    return told.join(hubs, "value").filter("node <> hub").select("value", "node", "n", "hub", "hub_n")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -171,16 +183,18 @@ def _with_component(rows: DataFrame, labels: DataFrame, node: str = "node", name
     return rows.join(known, node, "left").withColumn(name, F.coalesce("_comp", node)).drop("_comp")
 
 
-def unsettled(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Nodes that share a list, not as its hub, with a node of another component and of a size that a link allows."""
+def unsettled(met: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """Nodes that share lists, not as their hub, with a node of another component and of a size that a link allows: so many lists as linked ones share."""
+    size = met.count()
     rows = _with_component(met.select("value", "node", "n"), labels)
-    rows = cut(rows.withColumn("q", F.floor(F.log("n") / F.log(F.lit(100 / percent)))))
+    rows = cut(rows.withColumn("q", F.floor(F.log("n") / F.log(F.lit(100 / percent)))), size)
     seen = rows.groupBy("value", "q").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    several = seen.groupBy("value").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("value")
-    seen = seen.join(several, "value", "left_semi")
-    near = rows.select("value", "node", "n", "comp", F.explode(F.array(F.col("q") - 1, F.col("q"), F.col("q") + 1)).alias("q"))
+    seen = cut(seen, size)
+    several = cut(seen.groupBy("value").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("value"), size)
+    near = rows.join(several, "value", "left_semi").select("value", "node", "n", "comp", F.explode(F.array(F.col("q") - 1, F.col("q"), F.col("q") + 1)).alias("q"))
     other = f"(lo <> comp OR hi <> comp) AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least"
-    return near.join(seen, ["value", "q"]).filter(other).select("node").distinct()
+    found = near.join(seen, ["value", "q"]).filter(other).select("node", "n", "value").distinct()
+    return found.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).filter((F.col("n") <= k) | (F.col("c") >= LEAST_LISTS)).select("node")
 
 
 def _band(n: Column) -> Column:
@@ -196,8 +210,7 @@ def candidates(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     the ``reach`` of x at i, and the same holds the other way.
     """
     shown = sets.select("node", F.explode("hashes").alias("value"))
-    common = shown.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = shown.join(common, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"))
+    ranked = _listed_with_others(shown).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"))
     ranked = _with_component(ranked.join(sets.select("node", "n"), "node"), labels)
     least = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("long")
     alone = F.col("n") - F.size("vals")  # values that no other set holds have the first ranks
@@ -205,9 +218,10 @@ def candidates(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     listed = ranked.filter(upto > 0).select("node", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("vals", F.lit(1), upto.cast("int"))).alias("at", "v"))
     reach = F.floor((F.col("n") - F.col("alone") - F.col("at")) * F.lit(100.0 + percent) / F.lit(percent)).cast("long") - F.col("n")
     entries = cut(listed.select("v.value", "node", "n", "comp", reach.alias("reach")).filter(F.col("reach") >= least))
+    size = entries.count()
     mixed = entries.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("many"))
-    entries = entries.join(mixed.filter("many > 1"), "value").withColumn("minor", F.col("comp") != F.col("major")).drop("major", "many")
-    entries = cut(entries)
+    mixed = cut(mixed.filter("many > 1"), size)
+    entries = cut(entries.join(mixed, "value").withColumn("minor", F.col("comp") != F.col("major")).drop("major", "many"), size)
     index = entries.filter("reach >= n").select("value", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp", "reach", "minor")])
     probe = entries.withColumn("band", F.explode(F.sequence(_band(least), _band(F.least("n", "reach")))))
     able = (
@@ -229,21 +243,24 @@ def _settle(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
     left, turn = cut(pairs), 0
     while True:
         rows = _with_component(_with_component(left, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b", "shared")
-        open_pairs = cut(rows)
+        open_pairs = cut(rows, left.count())
         free(left)
-        if not open_pairs.take(1):
+        size = open_pairs.count()
+        if not size:
+            free(open_pairs)
             return labels
         asked, left = open_pairs, None
         if turn < first:
             ends = open_pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("shared", "a", "b").alias("pair"))
-            asked = cut(ends.groupBy("node").agg(F.max("pair").alias("p")).select("p.a", "p.b").distinct())
-            left = cut(open_pairs.join(asked, ["a", "b"], "left_anti"))
-        links = cut(confirmed(asked, sets, percent))
+            asked = cut(ends.groupBy("node").agg(F.max("pair").alias("p")).select("p.a", "p.b").distinct(), size)
+            left = cut(open_pairs.join(asked, ["a", "b"], "left_anti"), size)
+            free(open_pairs)
+        links = cut(confirmed(asked, sets, percent), size)
         if links.take(1):
             labels = _relabelled(labels, links)
+        free(asked, links)
         if left is None:
             return labels
-        free(open_pairs)
         turn += 1
 
 
@@ -251,22 +268,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
     """doc_id, h, n_shingles, component_id, kept, comp (names the component, by a set in it): one row a document."""
     every = cut(sketches(docs, width, k))
     classes = cut(classes_of(every))
-    lists = cut(inverted_lists(classes, k, least_overlap(k, percent), percent))
-    met = cut(stars(lists))
+    lists = cut(inverted_lists(classes, k, percent))
+    met = cut(stars(lists, classes))
     free(lists)
     sized = f"100 * n >= {percent} * hub_n AND 100 * hub_n >= {percent} * n"
-    pairs = cut(met.filter(sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    likely = cut(plausible(pairs, classes, k, percent))
+    entries = met.count()
+    pairs = cut(met.filter(sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), entries)
+    size = pairs.count()
+    likely = cut(plausible(pairs, classes, k, percent), size)
     free(pairs)
-    wanted = lambda nodes: cut(classes.select("node", "name", "h").join(nodes.distinct(), "node", "left_semi"))
-    sets = cut(full_sets(docs, wanted(likely.select(F.explode(F.array("a", "b")).alias("node"))), width))
-    links = cut(confirmed(likely, sets, percent))
+    wanted = lambda nodes, most: cut(classes.select("node", "name", "h").join(nodes.distinct(), "node", "left_semi"), most)
+    sets = cut(full_sets(docs, wanted(likely.select(F.explode(F.array("a", "b")).alias("node")), 2 * size), width))
+    links = cut(confirmed(likely, sets, percent), size)
     free(sets, likely)
     labels = connected_components(links)
-    open_nodes = cut(unsettled(met, labels, percent))
+    open_nodes = cut(unsettled(met, labels, k, percent), entries)
     free(met)
     if open_nodes.take(1):
-        sets = cut(full_sets(docs, wanted(open_nodes), width))
+        sets = cut(full_sets(docs, wanted(open_nodes, open_nodes.count()), width))
         labels = _settle(candidates(sets, labels, percent), sets, labels, percent)
         free(sets)
     owner = _with_component(classes.select("node", "name", "least"), labels)
