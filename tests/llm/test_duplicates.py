@@ -221,3 +221,55 @@ def test_very_long_texts_and_clashing_columns(spark):
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     assert sorted(r.doc_id for r in minhash.keep_one(df, 2).collect()) == [1, 3, 4, 5]
+
+
+def test_paths_compact_what_never_branches(spark):
+    from tidelog.llm import windows
+
+    rng = random.Random(21)
+    how = Windows("words", 5, 2, earlier=True)
+    blocks = [" ".join(f"b{k}_{j}" for j in range(rng.randint(4, 30))) for k in range(6)]
+    texts = [" ".join(rng.choice(blocks) if rng.random() < 0.8 else f"x{k}_{j}" for j in range(rng.randint(1, 7))) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    runs = windows.owned_runs(windows.distinct_texts(windows._rows(df))[0], how).collect()
+    of = collections.defaultdict(list)
+    for r in runs:
+        of[r.owner].append(r)
+    repeated = [r for r in runs if len({x.own for x in of[r.owner]}) > 1]
+    first = {}
+    for r in repeated:
+        first[r.ctx] = min(first.get(r.ctx, r.own), r.own)
+    at = {(r.tid, r.seq): r for r in repeated}
+    after, before = collections.defaultdict(set), collections.defaultdict(set)
+    for (tid, seq), r in at.items():
+        following, previous = at.get((tid, seq + 1)), at.get((tid, seq - 1))
+        after[r.ctx].add(following and bytes(following.ctx))
+        before[r.ctx].add(previous and bytes(previous.ctx))
+    joins = lambda a, b: after[a.ctx] == {bytes(b.ctx)} and before[b.ctx] == {bytes(a.ctx)}
+    want = []
+    for (tid, seq), r in sorted(at.items()):
+        if r.own <= first[r.ctx]:
+            continue
+        if (tid, seq - 1) in at and joins(at[tid, seq - 1], r):
+            want[-1][2] += r.run
+        else:
+            want.append([tid, r.at - r.back, r.run])
+    rows = [(r.tid, r.seq, r.ctx, r.own, first[r.ctx], r.at - r.back, r.run) for r in repeated]
+    table = spark.createDataFrame(rows, "tid binary, seq int, ctx binary, own bigint, first bigint, start int, run int")
+    got = debruijn.paths(table).collect()
+    assert sorted((bytes(g.tid), g.start, g.run) for g in got) == sorted((bytes(t), s, n) for t, s, n in want)
+    assert any(n > max(r.run for r in runs) for _, _, n in want)
+
+
+def test_repeats_with_clashing_columns_and_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(22)
+    long = " ".join(f"w{rng.randrange(9)}" for _ in range(60000))
+    rows = [(1, long), (2, "head " + long[20000:90000]), (3, None), (4, ""), (2, "other text")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(0) for c in ("tid", "h", "own", "seq", "owner", "ctx", "n", "spans")})
+    words = debruijn.remove_repeats(df).collect()
+    assert {(r.doc_id, r.n, len(r.spans) // 2) for r in words} == {(1, 60000, 0), (2, len(rows[1][1].split()), 1), (3, 0, 0), (4, 0, 0), (2, 2, 0)}
+    found = {(r.doc_id, r.n): r.spans for r in suffixes.remove_repeats(df).collect()}
+    assert found[2, len(rows[1][1])] == [5, len(rows[1][1])] and found[1, len(long)] == [20000, 90000]
+    assert len(found) == 5 and suffixes.remove_repeats(df.limit(0)).count() == 0

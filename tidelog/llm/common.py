@@ -81,18 +81,18 @@ def free(*tables: DataFrame) -> None:
 MOST_BITS = 1 << 27
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
     """The rows whose 64-bit hash ``key`` may be among ``wanted``'s: a bitmap of bounded size, broadcast, so that others are not shuffled.
 
     False hits grow with the number of wanted hashes and are left to the exact
-    join that follows; a true one is never lost.
+    join that follows; a true one is never lost. ``others``: the rest of the rows.
     """
     bits = min(MOST_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
     slot = lambda k: F.pmod(F.col(k), F.lit(bits)).cast("long")
     maps = wanted.select(F.shiftright(slot(key), 15).alias("_m"), (slot(key) % 32768).alias("_at")).groupBy("_m").agg(F.bitmap_construct_agg("_at").alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (slot(key) % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.floor(byte / F.pow(F.lit(2), slot(key) % 8)) % 2 == 1
-    return rows.join(F.broadcast(maps), (F.shiftright(slot(key), 15) == F.col("_m")) & hit, "left_semi")
+    return rows.join(F.broadcast(maps), (F.shiftright(slot(key), 15) == F.col("_m")) & hit, "left_anti" if others else "left_semi")
 
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:

@@ -1,8 +1,10 @@
 """Substring dedup on bytes by a hash-compared suffix sort.
 
 The corpus's suffixes are sampled: of every 400-byte window, the k-mer of least
-hash stands for it (``windows``). Suffixes that begin with the same k-mer and
-differ later are sorted by a mergesort whose comparisons find the common
+hash stands for it (``windows``). Equal suffixes with equal text before them, told
+by 128-bit digests of their bytes, are one entry of the sort with a count; a
+count above one makes its windows repeats. Different suffixes that begin with
+the same k-mer are sorted by a mergesort whose comparisons find the common
 extension of two suffixes by binary search over prefix polynomial hashes, a
 number of steps logarithmic in the length. The text before the k-mer is sorted
 likewise, backwards. Common extensions of neighbours in both orders are
@@ -119,3 +121,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed, runs = span_columns()
     found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.col("n").alias("n_bytes"), removed.alias("n_removed"), runs.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (
+  SELECT doc_id, unnest(range(0, length(x) // 2 - 399, 512)) AS base, unnest(list_transform(range(0, length(x) // 2 - 399, 512), lambda b: x[2 * b + 1:2 * b + 1822])) AS c FROM t
+), g AS (
+  SELECT doc_id, base + i AS pos, md5(c[2 * i + 1:2 * i + 800]) AS g FROM (SELECT doc_id, base, c, unnest(range(0, least(512, length(c) // 2 - 399))) AS i FROM c)
+), f AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY g) > 1 AS again FROM g
+), s AS (
+  SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 400, true) AS fresh FROM f WHERE again
+), n AS (
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM s
+), spans AS (
+  SELECT doc_id, run, min(pos) AS a, max(pos) + 400 AS b FROM n GROUP BY doc_id, run
+), per AS (
+  SELECT doc_id, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS tail, list({'a': a, 'b': b} ORDER BY a) AS l FROM spans GROUP BY doc_id
+)
+SELECT t.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN l IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(l) + 1),
+    lambda k: x[2 * (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].b END) + 1:2 * l[k].a]), '') || x[2 * tail + 1:] END)) AS kept_sha256
+FROM t LEFT JOIN per ON per.doc_id = t.doc_id
+"""
