@@ -65,12 +65,44 @@ def test_reports(spark, tmp_path):
     def run(k, rate, errors=0):
         return {"index": k, "records": 1, "bytes": 1, "seconds": 1.0, "records_per_second": rate, "errors": errors, "latency_us": {"p50": rate, "p95": 1.0, "p99": 2.0, "max": 3.0}}
 
-    for k, (rate, errors) in enumerate([(10.0, 0), (20.0, 0), (99.0, 1)]):
-        doc = {"schema_version": 1, "environment": {"git_sha": "a"}, "broker": {"profile": "p"}, "workload": {"name": "w"}, "repetitions": [run(k, rate, errors)]}
-        (tmp_path / f"{k}.json").write_text(json.dumps(doc))
-    (tmp_path / "leak.json").write_text('{"schema_version": 1, "password": "x"}')
-    row = text.report_tables(spark, str(tmp_path)).first()
-    assert (row["median"], row["runs"], row["unstable"]) == (15.0, 2, True)
+    def write_doc(folder, name, k, rate, errors=0, sha="a", profile="p", more=""):
+        os.makedirs(tmp_path / folder, exist_ok=True)
+        broker = {"profile": profile, "io_workers": 2, "append_workers": 1}
+        doc = {"schema_version": 1, "generated_at_utc": f"2024-01-0{k + 1}", "environment": {"git_sha": sha}, "broker": broker, "workload": {"name": "w"}, "repetitions": [run(k, rate, errors)], "note": more}
+        (tmp_path / folder / f"{name}.json").write_text(json.dumps(doc, indent=1))
+
+    for folder in ("good", "errors", "secret", "revisions", "repeated", "profile"):
+        write_doc(folder, "0", 0, 10.0)
+        write_doc(folder, "1", 1, 20.0)
+    rolled = text.report_tables(spark, str(tmp_path / "good"))
+    assert (rolled.first()["median"], rolled.first()["runs"], rolled.first()["unstable"]) == (15.0, 2, True)
+    lines = [r.line for r in text.report_lines(rolled, text.read_reports(spark, str(tmp_path / "good"))).orderBy("at").collect()]
+    assert lines[0] == "Generated 2024-01-02" and lines[3] == "| p | w | 15.00 | 10.00 | 20.00 | 47.14 |"
+    write_doc("errors", "2", 2, 99.0, errors=1)
+    write_doc("secret", "2", 2, 99.0, more="password: x")
+    write_doc("revisions", "2", 2, 99.0, sha="b")
+    write_doc("repeated", "2", 1, 99.0)
+    for folder, problem in (("errors", "errors"), ("secret", "secret"), ("revisions", "several_revisions"), ("repeated", "repeated_run")):
+        assert {r.problem for r in text.report_problems(spark, str(tmp_path / folder)).collect()} == {problem}
+        with pytest.raises(ValueError, match=problem):
+            text.report_tables(spark, str(tmp_path / folder))
+    expected = spark.createDataFrame([("p", 2, 1)], "profile string, io_workers int, append_workers int")
+    assert text.report_problems(spark, str(tmp_path / "good"), expected).count() == 0
+    write_doc("profile", "2", 2, 99.0, profile="q")
+    assert [r.problem for r in text.report_problems(spark, str(tmp_path / "profile"), expected).collect()] == ["profile"]
+
+
+def test_manifests_and_scrapes(spark, tmp_path):
+    from tidelog.operators import metrics
+
+    topics = spark.createDataFrame([("trades", 4, "2024-01-01T00:00:00Z"), ("quotes", 1, "2024-01-02T00:00:00Z")], "topic string, partition_count int, created_at_utc string")
+    for r in text.manifest_lines(topics).collect():
+        os.makedirs(tmp_path / "topics" / r.topic)
+        (tmp_path / "topics" / r.topic / "manifest.json").write_text(r.manifest)
+    got = text.read_manifests(spark, str(tmp_path / "topics"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, topics.collect()))
+    (tmp_path / "scrape.txt").write_text("# HELP m\n# TYPE m counter\nother 1\nm 7\nm 9\n")
+    assert [r.value for r in metrics.scrape(text.read_scrapes(spark, str(tmp_path / "scrape.txt")), "m").collect()] == [7]
 
 
 def test_stream_source_resumes_by_partition(spark, tmp_path):

@@ -18,8 +18,79 @@ BATCH_BOUNDS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
 
 # Fixed names of error codes that queries return.
 MALFORMED, OUT_OF_RANGE, INVALID_OFFSET, INVALID_PARTITION = "malformed_payload", "offset_out_of_range", "invalid_offset", "invalid_partition"
+INVALID_LENGTH, INVALID_BATCH, UNSUPPORTED_CODEC, UNKNOWN_TOPIC = "invalid_length", "invalid_batch", "unsupported_codec", "unknown_topic"
 STALE_MEMBER, REBALANCE, GROUP_ACTIVE, TOPIC_CONFLICT, OVERLOADED = "stale_member", "rebalance_required", "group_active", "topic_conflict", "overloaded"
 
+# Fixed names of error codes, from 1 on, of codecs, from 0 on, of reasons for rejection and of damage scenarios.
+ERROR_NAMES = (
+    "invalid_magic", "unsupported_version", "invalid_length", "crc_mismatch", "malformed_payload", "unsupported_request", "not_implemented", "internal_error",
+    "reserved_flags", "unauthorized", "unknown_topic", "topic_conflict", "invalid_partition", "invalid_group", "invalid_offset", "overloaded",
+    "rebalance_required", "stale_member", "offset_out_of_range", "group_active", "unsupported_codec", "invalid_batch",
+)
+CODEC_NAMES = ("none", "zstd")
+REASON_NAMES = ("append_queue", "long_poll_limit", "connection_limit")
+SCENARIO_NAMES = ("torn-record", "partial-batch", "stale-index")
+# Fixed operations of the protocol: frame 1 is an error response, then each has a request (even) and a response (odd).
+OPERATIONS = (
+    "health", "metadata", "produce", "fetch", "offset_commit", "auth", "create_topic", "join_group", "sync_group", "heartbeat", "leave_group",
+    "group_offset_commit", "list_topics", "describe_topic", "delete_topic", "run_retention", "describe_group", "reset_group_offset", "produce_batch",
+)
+
+
+def whole(a: Column, b: Column | int) -> Column:
+    """The whole quotient of 64-bit integers, exact where a double would round."""
+    return F.call_function("div", a.cast("bigint"), (F.lit(b) if isinstance(b, int) else b).cast("bigint"))
+
+
+def _named(code: Column, names: tuple[str, ...], first: int, other: str) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), (code - first).cast("int")), F.lit(other))
+
+
+def error_name(code: Column) -> Column:
+    return _named(code, ERROR_NAMES, 1, "unknown_error")
+
+
+def frame_name(code: Column) -> Column:
+    frames = ["error_response", *(f"{name}_{kind}" for name in OPERATIONS for kind in ("request", "response"))]
+    return _named(code, tuple(frames), 1, "unknown")
+
+
+def codec_name(code: Column) -> Column:
+    return _named(code, CODEC_NAMES, 0, "unknown")
+
+
+def reason_name(code: Column) -> Column:
+    return _named(code, REASON_NAMES, 0, "unknown")
+
+
+def scenario_name(code: Column) -> Column:
+    return _named(code, SCENARIO_NAMES, 0, "unknown")
+
+
+def is_request(code: Column) -> Column:
+    """Whether a frame's type asks for something: the even ones of the operations."""
+    return F.coalesce(code.between(2, 2 * len(OPERATIONS) + 1) & (code % 2 == 0), F.lit(False))
+
+
+def is_retryable(error: Column) -> Column:
+    return F.coalesce(error.isin(OVERLOADED, REBALANCE), F.lit(False))
+
+
+def common_codecs(mine: Column, theirs: Column) -> Column:
+    """The codecs that both masks offer; null where ``none`` is not among them, as every peer must take it."""
+    both = mine.bitwiseAND(theirs)
+    return F.when(both.bitwiseAND(F.lit(1)) == 1, both)
+
+
+def joined_assignment(partitions: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(partitions), lambda p: p.cast("string")), ",")
+
+
+def topic_matches(topic: Column, wanted: str | Column) -> Column:
+    """An optional filter: an empty topic asks for all."""
+    name = F.lit(wanted) if isinstance(wanted, str) else wanted
+    return (name == "") | (topic == name)
+
 
 def _bytes(key: Column) -> Column:
     raw = key.cast("binary")
@@ -57,7 +128,7 @@ def unix_nanos(ts: Column) -> Column:
 
 
 def nanos_to_timestamp(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / 1000).cast("bigint"))
+    return F.timestamp_micros(whole(ns, 1000))
 
 
 def iso_seconds(ns: Column) -> Column:
@@ -66,7 +137,7 @@ def iso_seconds(ns: Column) -> Column:
 
 def age_seconds(now_ns: Column, ns: Column) -> Column:
     """Whole seconds since ``ns``; 0 for times to come."""
-    return F.greatest(F.lit(0), F.floor((now_ns - ns) / 1_000_000_000)).cast("bigint")
+    return F.greatest(F.lit(0).cast("bigint"), whole(now_ns - ns, 1_000_000_000))
 
 
 def zero_padded(number: Column, width: int) -> Column:
@@ -100,15 +171,15 @@ def crc_matches(body: Column, crc: Column) -> Column:
 
 def even_share(total: Column, parts: Column, part: Column) -> Column:
     """How much of ``total`` part number ``part`` (from 0) gets in an even split."""
-    return (F.floor(total / parts) + F.when(part < total % parts, 1).otherwise(0)).cast("bigint")
+    return (whole(total, parts) + F.when(part < total % parts, 1).otherwise(0)).cast("bigint")
 
 
 def range_owner(partition: Column, partitions: Column, members: Column) -> Column:
     """Index of the member that owns a partition when sorted members take contiguous ranges, the first ones one more."""
-    base = F.floor(partitions / members)
+    base = whole(partitions, members)
     extra = partitions % members
     wide = extra * (base + 1)
-    return F.when(partition < wide, F.floor(partition / (base + 1))).otherwise(extra + F.floor((partition - wide) / F.nullif(base, F.lit(0)))).cast("bigint")
+    return F.when(partition < wide, whole(partition, base + 1)).otherwise(extra + whole(partition - wide, F.nullif(base, F.lit(0)))).cast("bigint")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -36,12 +36,81 @@ def generations(joins: DataFrame) -> DataFrame:
 
 
 def replay(changes: DataFrame) -> DataFrame:
-    """Generation after each of (group, seq, kind, member_id): joins of members that are out, leaves and expiries of members that are in."""
+    """Generation after each of (group, seq, kind, member_id): joins of members that are out, leaves and expiries of members that are in.
+
+    Expiries of one ``seq`` are one sweep and raise the generation once.
+    """
     order = W.partitionBy("group", "member_id").orderBy("seq")
     member = F.col("kind") == "join"
     was = F.coalesce(F.lag(member).over(order), F.lit(False))
-    moved = changes.withColumn("changes", (member != was).cast("bigint"))
-    return moved.withColumn("generation", F.sum("changes").over(W.partitionBy("group").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    moved = changes.withColumn("changes", member != was)
+    nth = F.row_number().over(W.partitionBy("group", "seq", "kind", "changes").orderBy("member_id"))
+    counts = F.col("changes") & ((F.col("kind") != "expire") | (nth == 1))
+    moved = moved.withColumn("_counts", counts.cast("bigint")).withColumn("changes", F.col("changes").cast("bigint"))
+    return moved.withColumn("generation", F.sum("_counts").over(W.partitionBy("group").orderBy("seq").rangeBetween(W.unboundedPreceding, W.currentRow))).drop("_counts")
+
+
+STATE = "generation bigint, members map<string,struct<timeout:bigint,beat:bigint>>"
+EVENT = "group string, seq bigint, at_ms bigint, kind string, member_id string, session_timeout_ms bigint"
+OUTCOME = "group string, seq bigint, kind string, member_id string, generation bigint, error_code string, members bigint, expired array<string>"
+
+
+def coordinate(state: tuple[int, dict], event: dict) -> tuple[tuple[int, dict], dict]:
+    """One step of a group: (generation, members) and an event give the next state and what the member is told.
+
+    Members whose time is up go first, in one sweep that raises the generation
+    once. Joins of new members and leaves raise it too; a heartbeat or sync of an
+    unknown member is stale, and both renew a known one.
+    """
+    generation, members = state
+    now, kind, member = event["at_ms"], event["kind"], event["member_id"]
+    expired = sorted(m for m, (timeout, beat) in members.items() if now - beat >= timeout)
+    if expired:
+        members = {m: v for m, v in members.items() if m not in expired}
+        generation += 1
+    code = "none"
+    if kind == "join":
+        generation += member not in members
+        members = {**members, member: (event["session_timeout_ms"], now)}
+    elif kind != "expire" and member not in members:
+        code = STALE_MEMBER
+    elif kind == "leave":
+        members = {m: v for m, v in members.items() if m != member}
+        generation += 1
+    elif kind in ("heartbeat", "sync"):
+        members = {**members, member: (members[member][0], now)}
+    told = {"generation": generation, "error_code": code, "members": len(members), "expired": expired}
+    return (generation, members), told
+
+
+def stream_membership(events: DataFrame) -> DataFrame:
+    """Outcome of each event of ``EVENT``, as a stream with a keyed state a group, or in batch with the same step.
+
+    Events of a group count in the order of (at_ms, seq); of a stream, within each micro-batch.
+    """
+    import pandas as pd
+
+    names = [part.strip().split(" ")[0] for part in OUTCOME.split(",")]
+
+    def steps(state: tuple[int, dict], rows: pd.DataFrame) -> tuple[tuple[int, dict], pd.DataFrame]:
+        out = []
+        for event in rows.sort_values(["at_ms", "seq"]).to_dict("records"):
+            state, told = coordinate(state, event)
+            out.append({**{k: event[k] for k in ("group", "seq", "kind", "member_id")}, **told})
+        return state, pd.DataFrame(out, columns=names)
+
+    if not events.isStreaming:
+        return events.groupBy("group").applyInPandas(lambda rows: steps((0, {}), rows)[1], OUTCOME)
+
+    def update(key, batches, held):
+        generation, members = held.get if held.exists else (0, {})
+        state = (generation, {m: (v[0], v[1]) for m, v in members.items()})
+        rows = pd.concat(list(batches))
+        state, out = steps(state, rows)
+        held.update((state[0], state[1]))
+        yield out
+
+    return events.groupBy("group").applyInPandasWithState(update, OUTCOME, STATE, "append", "NoTimeout")
 
 
 def fence(commits: DataFrame, current: DataFrame, owned: DataFrame, heartbeat: bool = False) -> DataFrame:

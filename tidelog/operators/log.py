@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.functions import fnv1a_partition
+from tidelog.functions import GROUP_ACTIVE, fnv1a_partition, whole
 from tidelog.shipping import map_arrow
 
 #: arrivals that are numbered together; a hot partition is numbered in many tasks
@@ -36,8 +36,10 @@ def route(rows: DataFrame, partitions: int, key: str = "key", seq: str = "seq",
     keyless = F.coalesce(F.octet_length(F.col(key)), F.lit(0)) == 0
     turn = number_in_order(rows.filter(keyless), [topic], seq, "_turn")
     turn = turn.withColumn("partition", (F.col("_turn") % partitions).cast("int")).drop("_turn")
-    hashed = rows.filter(~keyless).withColumn("partition", fnv1a_partition(F.col(key), partitions))
-    return hashed.unionByName(turn)
+    keys = rows.select(F.col(key).alias("_key")).filter(F.octet_length("_key") > 0).distinct()
+    hashed = keys.withColumn("partition", fnv1a_partition(F.col("_key"), partitions))
+    keyed = rows.filter(~keyless).join(hashed, F.col(key) == F.col("_key")).drop("_key")
+    return keyed.unionByName(turn)
 
 
 def assign_offsets(rows: DataFrame, existing: DataFrame | None = None, seq: str = "seq") -> DataFrame:
@@ -65,31 +67,59 @@ def bounds(records: DataFrame) -> DataFrame:
 def roll_segments(records: DataFrame, max_bytes: int, max_age_ns: int = 0) -> DataFrame:
     """``segment_base``: a record that would overfill its segment, or finds it too old, starts the next one.
 
-    A fold with reset in the order of offsets. Rows stream through Arrow batches
-    sorted by (topic, partition, offset); the state is one open segment, so a
-    task's memory does not grow with a partition.
+    A fold with reset in the order of offsets: what fills a segment depends on
+    where the one before it ended. Only offsets, sizes and times stream through
+    Arrow, sorted by (topic, partition, offset); within a batch each next
+    segment is searched in running sums, a step a segment, and one open segment
+    is the state. A partition of the log is one task.
     """
-    columns = records.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", segment_base bigint"
+    key = ["topic", "partition"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, base, filled, opened = None, 0, 0, 0
+        name, base, filled, opened = None, 0, 0, 0
         for batch in batches:
-            names = list(zip(batch.column("topic").to_pylist(), batch.column("partition").to_pylist(), strict=True))
-            sizes, offsets = batch.column("encoded_byte_size").to_pylist(), batch.column("offset").to_pylist()
-            times = batch.column("timestamp_unix_ns").to_pylist()
-            out = np.empty(len(names), np.int64)
-            for k, (name, size, offset, time) in enumerate(zip(names, sizes, offsets, times, strict=True)):
-                if name != key:
-                    key, base, filled, opened = name, offset, 0, time
-                elif filled > 0 and (filled + size > max_bytes or (max_age_ns and time - opened >= max_age_ns)):
-                    base, filled, opened = offset, 0, time
-                filled += size
-                out[k] = base
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*columns, "segment_base"])
-
-    ordered = records.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
-    return map_arrow(ordered, run, schema)
+            topics, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            offsets, sizes, times = (batch.column(j).to_numpy(zero_copy_only=False) for j in (2, 3, 4))
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            latest = np.maximum.accumulate(times) if len(times) else times
+            change = [0, *(k for k in range(1, len(topics)) if (topics[k], parts[k]) != (topics[k - 1], parts[k - 1])), len(topics)]
+            out: list[tuple] = []
+            for start, end in zip(change[:-1], change[1:], strict=True):
+                if start == end:
+                    continue
+                at = start
+                if (topics[start], parts[start]) != name:
+                    name, base, filled, opened = (topics[start], parts[start]), int(offsets[start]), 0, int(times[start])
+                    out.append((*name, base))
+                while at < end:
+                    # the first record that does not fit; one that finds its segment empty always does
+                    stop = int(np.searchsorted(total, total[at] + max_bytes - filled, "right")) - 1
+                    stop = max(stop, at + (filled == 0))
+                    if max_age_ns:
+                        aged = np.flatnonzero(times[at + (filled == 0) : min(stop, end)] - opened >= max_age_ns) if latest[min(stop, end) - 1] - opened >= max_age_ns else []
+                        if len(aged):
+                            stop = at + (filled == 0) + int(aged[0])
+                    if stop >= end:
+                        filled += int(total[end] - total[at])
+                        at = end
+                    else:
+                        base, filled, opened, at = int(offsets[stop]), 0, int(times[stop]), stop
+                        out.append((*name, base))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], [*key, "segment_base"])
+
+    slim = records.select(F.col("topic").cast("string"), F.col("partition").cast("int"), F.col("offset").cast("bigint"), F.col("encoded_byte_size").cast("bigint"), F.col("timestamp_unix_ns").cast("bigint"))
+    starts = map_arrow(slim.repartition(*key).sortWithinPartitions(*key, "offset"), run, "topic string, partition int, segment_base bigint")
+    # each segment is one more row before its first record, and records take the last one before them: no join
+    upto = W.partitionBy(*key).orderBy("offset", F.col("_starts").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = records.unionByName(starts.select(*key, F.col("segment_base").alias("offset"), F.col("segment_base").alias("_starts")), allowMissingColumns=True)
+    told = every.withColumn("segment_base", F.max("_starts").over(upto)).filter("_starts IS NULL")
+    return told.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in records.schema], "segment_base")
+
+
+def coalesced(records: DataFrame, most: int) -> DataFrame:
+    """(topic, partition, drain, records, bytes): appends that each take up to ``most`` waiting records of a partition."""
+    drain = F.expr(f"offset div {most}").alias("drain")
+    return records.groupBy("topic", "partition", drain).agg(F.count(F.lit(1)).alias("records"), F.sum("encoded_byte_size").alias("bytes"))
 
 
 def segments(rolled: DataFrame) -> DataFrame:
@@ -115,7 +145,7 @@ def retention(segs: DataFrame, now_ns: int | Column, max_bytes: int = 0, max_age
     """
     suffix = F.sum("log_bytes").over(W.partitionBy("topic", "partition").orderBy("base_offset").rowsBetween(W.currentRow, W.unboundedFollowing))
     now = F.lit(now_ns) if isinstance(now_ns, int) else now_ns
-    old = F.lit(max_age_seconds > 0) & (F.floor((now - F.col("last_ns")) / 1_000_000_000) >= max_age_seconds)
+    old = F.lit(max_age_seconds > 0) & (whole(now - F.col("last_ns"), 1_000_000_000) >= max_age_seconds)
     big = F.lit(max_bytes > 0) & (suffix > max_bytes)
     return segs.withColumn("deleted", ~F.col("active") & (old | big))
 
@@ -145,6 +175,23 @@ def compact(commits: DataFrame, deleted_topics: DataFrame) -> DataFrame:
     return latest_commits(commits).join(deleted_topics.select("topic"), "topic", "left_anti")
 
 
+def delete_topics(wanted: DataFrame, records: DataFrame, commits: DataFrame, active_groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(result, records left, commits left): topics go with their records and commits unless a group that reads them has members.
+
+    ``result`` is (topic, result, partitions, records, log_bytes, groups); ``active_groups`` holds (group, topic).
+    """
+    from tidelog.operators.offsets import latest_commits
+
+    busy = active_groups.select("topic").distinct().withColumn("_busy", F.lit(True))
+    sums = bounds(records).groupBy("topic").agg(F.count(F.lit(1)).alias("partitions"), F.sum("records").alias("records"), F.sum("log_bytes").alias("log_bytes"))
+    groups = latest_commits(commits).groupBy("topic").agg(F.countDistinct("group").alias("groups"))
+    told = wanted.select("topic").distinct().join(busy, "topic", "left").join(sums, "topic", "left").join(groups, "topic", "left")
+    result = F.when(F.col("partitions").isNull(), "unknown_topic").when(F.col("_busy"), GROUP_ACTIVE).otherwise("deleted")
+    told = told.select("topic", result.alias("result"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("partitions", "records", "log_bytes", "groups")])
+    gone = told.filter("result = 'deleted'").select("topic")
+    return told, records.join(gone, "topic", "left_anti"), commits.join(gone, "topic", "left_anti")
+
+
 def create_topics(wanted: DataFrame, existing: DataFrame, max_partitions: int = 128) -> DataFrame:
     """``result`` of each (topic, partition_count): created, exists or topic_conflict, or why it is refused."""
     from tidelog.functions import INVALID_PARTITION, MALFORMED, TOPIC_CONFLICT, valid_name

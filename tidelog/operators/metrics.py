@@ -78,6 +78,59 @@ def exposition(samples: DataFrame, labels: list[str]) -> DataFrame:
     return samples.withColumn("line", F.concat(F.col("metric"), F.lit("{"), shown, F.lit("} "), F.col("value").cast("string")))
 
 
+def exposition_text(samples: DataFrame, labels: list[str], about: DataFrame) -> DataFrame:
+    """(metric, at, line) of a page in order: HELP and TYPE of each metric of ``about`` (metric, help, type), then its samples by their labels."""
+    lines = exposition(samples, labels)
+    order = W.partitionBy("metric").orderBy(*labels)
+    shown = lines.withColumn("at", F.row_number().over(order) + 1).select("metric", F.col("at").cast("bigint").alias("at"), "line")
+    heads = [F.struct(F.lit(k).cast("bigint").alias("at"), F.concat(F.lit(f"# {word} "), "metric", F.lit(" "), F.col(c)).alias("line")) for k, (word, c) in enumerate((("HELP", "help"), ("TYPE", "type")))]
+    return about.select("metric", F.inline(F.array(*heads))).unionByName(shown)
+
+
+def nonzero(counted: DataFrame, total: str = "total") -> DataFrame:
+    """Label rows that have counted something."""
+    return counted.filter(F.col(total) > 0)
+
+
+def aggregated(samples: DataFrame, how: str, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
+    """``sum by`` and ``max by`` of the series at each time; no labels: over all of them."""
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    return samples.groupBy(*by, ts).agg(fold(value).alias(value))
+
+
+#: alert: metric, labels, what is compared, for how long, severity. ``seconds`` is a counter's window, ``over`` a ratio's other metric.
+ALERTS = (
+    {"alert": "BrokerDown", "metric": "up", "test": lambda v: v == 0, "hold": 60, "severity": "critical"},
+    {"alert": "NotReady", "metric": "ready", "test": lambda v: v == 0, "hold": 120, "severity": "critical"},
+    {"alert": "AppendOverload", "metric": "rejected_requests_total", "labels": {"operation": "produce", "reason": "append_queue"}, "seconds": 120, "fold": "sum", "test": lambda v: v > 0, "hold": 120, "severity": "warning"},
+    {"alert": "ConsumerLagHigh", "metric": "consumer_group_lag_records", "fold": "max", "test": lambda v: v > 10000, "hold": 300, "severity": "warning"},
+    {"alert": "DiskNearlyFull", "metric": "storage_available_bytes", "over": "storage_capacity_bytes", "test": lambda v: v < 0.15, "hold": 300, "severity": "critical"},
+    {"alert": "RetentionFailure", "metric": "retention_failures_total", "seconds": 300, "test": lambda v: v > 0, "hold": 0, "severity": "warning"},
+)
+
+
+def alerts(samples: DataFrame, rules: tuple[dict, ...] = ALERTS) -> DataFrame:
+    """(alert, severity, labels, ts, value, firing) of each rule over (metric, labels, ts, value); ``labels`` are JSON with sorted names, "" where a rule folds series."""
+    from functools import reduce
+
+    out = []
+    for rule in rules:
+        rows = samples.filter(F.col("metric") == rule["metric"])
+        for name, wanted in rule.get("labels", {}).items():
+            rows = rows.filter(F.get_json_object("labels", f"$.{name}") == wanted)
+        rows = rows.select("labels", "ts", F.col("value").cast("double").alias("value"))
+        if "seconds" in rule:
+            rows = rate(rows, ["labels"], rule["seconds"]).select("labels", "ts", F.col("increase").alias("value"))
+        if "over" in rule:
+            other = samples.filter(F.col("metric") == rule["over"]).select("labels", "ts", F.col("value").alias("_of"))
+            rows = rows.join(other, ["labels", "ts"]).select("labels", "ts", (F.col("value") / F.nullif(F.col("_of"), F.lit(0.0))).alias("value"))
+        if "fold" in rule:
+            rows = aggregated(rows, rule["fold"], []).select(F.lit("").alias("labels"), "ts", "value")
+        told = firing(rows, ["labels"], rule["test"](F.col("value")), rule["hold"])
+        out.append(told.select(F.lit(rule["alert"]).alias("alert"), F.lit(rule["severity"]).alias("severity"), "labels", "ts", "value", "firing"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def scrape(lines: DataFrame, name: str) -> DataFrame:
     """The number of the first line ``name number`` of each scrape (scrape_id, at, line)."""
     value = F.regexp_extract("line", rf"^{name} ([0-9]+)$", 1)

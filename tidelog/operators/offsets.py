@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions import GROUP_ACTIVE, INVALID_OFFSET, OUT_OF_RANGE, strict_number
+from tidelog.functions import GROUP_ACTIVE, INVALID_OFFSET, OUT_OF_RANGE, STALE_MEMBER, strict_number
 
 KEY = ["group", "topic", "partition"]
 
@@ -71,3 +71,20 @@ def reset(requests: DataFrame, latest: DataFrame, limits: DataFrame, active_grou
         .otherwise("none")
     )
     return met.select(*KEY, "previous_offset", F.when(code == "none", wanted).alias("new_offset"), code.alias("error_code"))
+
+
+def commit(commits: DataFrame, limits: DataFrame, active_members: DataFrame) -> DataFrame:
+    """Commits made by hand: ``error_code`` of each, those of groups with members of a topic (group, topic) being fenced as stale.
+
+    Commits without an error may be appended (``append_commits``).
+    """
+    met = commits.join(active_members.select("group", "topic").distinct().withColumn("_busy", F.lit(True)), ["group", "topic"], "left")
+    told = validate(met, limits)
+    known = F.col("error_code") != "invalid_partition"
+    return told.withColumn("error_code", F.when(known & F.col("_busy"), STALE_MEMBER).otherwise(F.col("error_code"))).drop("_busy")
+
+
+def describe_members(described: DataFrame, members: DataFrame) -> DataFrame:
+    """``describe_groups`` with ``active_members`` of each (group, topic) beside."""
+    counted = members.groupBy("group", "topic").agg(F.countDistinct("member_id").alias("active_members"))
+    return described.join(counted, ["group", "topic"], "left").fillna(0, ["active_members"])

@@ -44,5 +44,20 @@ def roll_up(runs: DataFrame, keys: list[str], value: str = "throughput", unstabl
     return out.withColumn("unstable", F.col("cv") > unstable)
 
 
+def merge_threads(threads: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs from the results of their threads (records, bytes, errors, latencies): sums, and all latencies together."""
+    return threads.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("records", "bytes", "errors")], F.flatten(F.collect_list("latencies")).alias("latencies"))
+
+
+def pooled(samples: DataFrame, keys: list[str], value: str, qs: dict[str, float], scale: float = 1.0) -> DataFrame:
+    """Percentiles over the samples of all runs together, where ``roll_up`` takes the median of each run's."""
+    return samples.groupBy(*keys).agg(F.count(value).alias("samples"), *[nearest_rank(value, q, scale).alias(name) for name, q in qs.items()])
+
+
+def mean_batch(records: Column, batches: Column) -> Column:
+    """Records of a mean batch; 0 without batches."""
+    return F.when(batches > 0, records / batches).otherwise(F.lit(0.0)).cast("double")
+
+
 def best(rolled: DataFrame, by: str = "median", name: str = "profile") -> DataFrame:
     return rolled.orderBy(F.col(by).desc(), F.col(name)).limit(1)

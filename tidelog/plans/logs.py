@@ -73,15 +73,10 @@ def list_topics(spark, sf_dir):
     return b.groupBy("topic").agg(F.count(F.lit(1)).alias("partitions"), F.sum("records").alias("records"), F.sum("log_bytes").alias("log_bytes"))
 
 
-@query(f"""WITH {records_sql()} SELECT partition, seq, off AS "offset", size AS encoded_byte_size FROM rec
-WHERE seq % 2 = 0 AND off >= 0""")
+@query(f"""WITH {records_sql()} SELECT partition, seq, off AS "offset", size AS encoded_byte_size FROM rec""")
 def produce_results(spark, sf_dir):
-    """What producers are told of every second record: partition, offset, bytes."""
-    return records(spark, sf_dir).filter(F.col("seq") % 2 == 0).select("partition", "seq", "offset", "encoded_byte_size")
-
-
-def _requests(spark, sf_dir, **columns):
-    return trimmed_bounds(spark, sf_dir).select("topic", "partition", *[v.alias(k) for k, v in columns.items()])
+    """What producers are told of each record: partition, offset, bytes."""
+    return records(spark, sf_dir).select("partition", "seq", "offset", "encoded_byte_size")
 
 
 def _fetched(spark, sf_dir, selector, max_records=100, max_bytes=0):
@@ -90,7 +85,7 @@ def _fetched(spark, sf_dir, selector, max_records=100, max_bytes=0):
     asked = limits.select("topic", "partition", F.lit("1-URGENT").alias("group"), F.lit(selector).alias("selector"))
     chosen = fetching.select_offsets(asked, limits, offsets.latest_commits(commits(spark, sf_dir))).filter("error_code = 'none'")
     requests = chosen.select("topic", "partition", "from_offset")
-    return fetching.responses(requests, fetching.fetch(recs, requests, max_records, max_bytes))
+    return fetching.responses(requests, fetching.fetch(recs, requests, max_records, max_bytes)).drop("error_code")
 
 
 def _fetch_sql(wanted: str, max_records: int = 100, max_bytes: int = 0) -> str:

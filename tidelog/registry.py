@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.plans import logs, operations
+from tidelog.plans import contracts, logs, operations
 
 
 def queries() -> dict:
-    return {**logs.QUERIES, **operations.QUERIES}
+    return {**logs.QUERIES, **operations.QUERIES, **contracts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**logs.SQL, **operations.SQL}
+    return {**logs.SQL, **operations.SQL, **contracts.SQL}

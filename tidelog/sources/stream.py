@@ -39,9 +39,16 @@ def _records(folder: str, start: int, end: int) -> Iterator[tuple]:
 
 
 def _next(folder: str) -> int:
-    last = 0
-    for record in _records(folder, 0, 1 << 62):
-        last = record[2] + 1
+    """The offset after the last record: of the last segment only, as its name says where it begins."""
+    files = sorted(glob.glob(os.path.join(folder, "[0-9]" * 20 + ".log")))
+    if not files:
+        return 0
+    last = int(os.path.basename(files[-1])[:20])
+    with open(files[-1], "rb") as data:
+        for _, _, found, problem in decode_log(data.read()):
+            if problem:
+                break
+            last = found[-1][0] + 1
     return last
 
 

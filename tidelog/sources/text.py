@@ -37,7 +37,7 @@ def offset_log_lines(commits: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """(topic, partition_count, created_at_utc) of JSON manifests below ``path``."""
-    found = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     got = lambda name: F.get_json_object("value", f"$.{name}")
     return found.select(got("topic").alias("topic"), got("partition_count").cast("int").alias("partition_count"), got("created_at_utc").alias("created_at_utc"))
 
@@ -48,24 +48,70 @@ def manifest_lines(topics: DataFrame) -> DataFrame:
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
     """(scrape_id, at, line) of metrics text files."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("scrape_id"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("scrape_id"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.filter("line <> '' AND NOT startswith(line, '#')")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of benchmark documents that pass validation: one schema version and revision, no errors, no secrets."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).filter(~F.col("value").rlike(SECRETS))
-    shape = (
-        "schema_version int, generated_at_utc string, environment struct<git_sha:string>, broker struct<profile:string>, workload struct<name:string>, "
-        "repetitions array<struct<index:int,records:bigint,bytes:bigint,seconds:double,records_per_second:double,errors:bigint,latency_us:struct<p50:double,p95:double,p99:double,max:double>>>"
+REPORT = (
+    "schema_version int, generated_at_utc string, environment struct<kind:string,build_type:string,git_sha:string>, broker struct<profile:string,io_workers:int,append_workers:int>, workload struct<name:string>, "
+    "repetitions array<struct<index:int,records:bigint,bytes:bigint,seconds:double,records_per_second:double,errors:bigint,latency_us:struct<p50:double,p95:double,p99:double,max:double>>>"
+)
+
+
+def report_problems(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """(path, problem) of the benchmark documents below ``path``; a set with one is rejected as a whole.
+
+    A document may not hold secrets or errors, must have schema version 1 and a
+    revision, and, with ``expected`` (profile, io_workers, append_workers), a
+    known profile with just those workers. All share one revision, and none
+    repeats another's profile, workload and run.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.input_file_name().alias("path"))
+    docs = raw.select("path", "value", F.from_json("value", REPORT).alias("d"))
+    problem = (
+        F.when(F.col("value").rlike(SECRETS), "secret")
+        .when(F.coalesce(F.col("d.schema_version"), F.lit(0)) != 1, "schema")
+        .when(F.coalesce(F.length("d.environment.git_sha"), F.lit(0)) == 0, "revision")
+        .when(F.col("d.workload.name").isNull(), "workload")
+        .when(F.coalesce(F.size("d.repetitions"), F.lit(0)) < 1, "repetitions")
+        .when(F.exists("d.repetitions", lambda r: F.coalesce(r["errors"], F.lit(1)) != 0), "errors")
     )
-    docs = raw.select(F.from_json("value", shape).alias("d")).filter("d.schema_version IS NOT NULL")
-    runs = docs.select("d.schema_version", "d.environment.git_sha", F.col("d.broker.profile").alias("profile"), F.col("d.workload.name").alias("workload"), F.explode("d.repetitions").alias("r"))
-    return runs.filter("r.errors = 0").select(
-        "schema_version", "git_sha", "profile", "workload", F.col("r.index").alias("run"), F.col("r.records_per_second").alias("throughput"),
+    told = docs.withColumn("problem", problem)
+    if expected is not None:
+        want = expected.select(F.col("profile").alias("_profile"), F.col("io_workers").alias("_io"), F.col("append_workers").alias("_append"))
+        met = told.join(want, F.col("d.broker.profile") == F.col("_profile"), "left")
+        same = F.col("d.broker.io_workers").eqNullSafe(F.col("_io")) & F.col("d.broker.append_workers").eqNullSafe(F.col("_append"))
+        told = met.withColumn("problem", F.coalesce("problem", F.when(F.col("_profile").isNull() | ~same, "profile")))
+    found = told.filter("problem IS NOT NULL").select("path", "problem")
+    several = told.agg(F.countDistinct("d.environment.git_sha").alias("n")).filter("n > 1").select(F.lit("*").alias("path"), F.lit("several_revisions").alias("problem"))
+    runs = told.select("path", F.col("d.broker.profile").alias("p"), F.col("d.workload.name").alias("w"), F.explode("d.repetitions.index").alias("i"))
+    again = runs.groupBy("p", "w", "i").agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path")).filter("n > 1").select("path", F.lit("repeated_run").alias("problem"))
+    return found.unionByName(several).unionByName(again)
+
+
+def read_reports(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """Runs of a set of benchmark documents; ValueError names the problems of a set that is not sound (``report_problems``)."""
+    problems = report_problems(spark, path, expected).orderBy("path", "problem").limit(20).collect()
+    if problems:
+        raise ValueError("; ".join(f"{p.problem}: {p.path}" for p in problems))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    docs = raw.select(F.from_json("value", REPORT).alias("d"))
+    runs = docs.select("d.schema_version", "d.environment.git_sha", F.col("d.broker.profile").alias("profile"), F.col("d.workload.name").alias("workload"), "d.generated_at_utc", F.explode("d.repetitions").alias("r"))
+    return runs.select(
+        "schema_version", "git_sha", "profile", "workload", "generated_at_utc", F.col("r.index").alias("run"), F.col("r.records_per_second").alias("throughput"),
         F.col("r.latency_us.p50").alias("p50"), F.col("r.latency_us.p99").alias("p99"), F.col("r.latency_us.max").alias("slowest"),
     )
 
 
-def report_tables(spark: SparkSession, path: str) -> DataFrame:
-    return roll_up(read_reports(spark, path), ["profile", "workload"])
+def report_tables(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    return roll_up(read_reports(spark, path, expected), ["profile", "workload"])
+
+
+def report_lines(rolled: DataFrame, generated: DataFrame) -> DataFrame:
+    """(at, line) of the Markdown table of ``report_tables``, headed by the latest time of the runs (``generated``: generated_at_utc)."""
+    latest = generated.agg(F.max("generated_at_utc").alias("t")).select(F.lit(0).cast("bigint").alias("at"), F.concat(F.lit("Generated "), "t").alias("line"))
+    heads = [(1, "| profile | workload | median | least | most | cv |"), (2, "| --- | --- | --- | --- | --- | --- |")]
+    head = latest.unionByName(rolled.sparkSession.createDataFrame(heads, "at bigint, line string"))
+    shown = F.concat(F.lit("| "), F.concat_ws(" | ", "profile", "workload", *[F.format_string("%.2f", F.col(c)) for c in ("median", "least", "most", "cv")]), F.lit(" |"))
+    at = F.row_number().over(W.orderBy("profile", "workload")) + 2  # a row a profile and workload
+    return head.unionByName(rolled.select(at.cast("bigint").alias("at"), shown.alias("line")))

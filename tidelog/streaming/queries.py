@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,9 +11,24 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share; a temporary one only where none is set, as in tests. Removed when the driver ends."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelog-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidelog-stream-")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone already; the folder is scratch space
+        return
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
@@ -22,18 +38,24 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{head}/{name[:-1]}[{name[-1]}]")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs the stream over all that is there, with a checkpoint, into a Parquet table; returns that table.
 
-    In complete mode each batch replaces the table.
+    Each batch overwrites a part of its own, named by its number, so that a
+    batch run again after a restart from ``folder`` leaves no row twice. In
+    complete mode each batch replaces the table.
     """
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark = stream.sparkSession
+    folder = folder or _folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/_batch={number}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return spark.read.schema(f"{kinds}, _batch int").option("basePath", f"{folder}/out").parquet(f"{folder}/out/_batch=*").drop("_batch")
 
 
 def consumed_offsets(stream: DataFrame, keys: list[str], offset: str) -> DataFrame:
