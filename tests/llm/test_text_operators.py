@@ -225,3 +225,154 @@ def test_interleaved_sequences(spark):
     got = media.resolve(media.interleave(pages), store).collect()
     assert sorted((r["_row"]["page_id"], r.position, r["size"]) for r in got if r.kind == "media") == [(1, 1, 7), (1, 2, None), (1, 4, 7)]
     assert [r.text for r in got if r["_row"]["page_id"] == 3] == ["alone"]
+
+
+def test_malformed_html_and_pages(spark):
+    assert [i["text"] for i in media.parse("<![foo[x]]>after")] == ["<![foo[x]]>after"]
+    rng = random.Random(6)
+    bits = ["<", ">", "<!", "<![", "<![CDATA[", "]]>", "<!DOCTYPE x [", "<?", "&#", "&#x110000;", '"', "=", "/", "img src=a ", "<p>", "</", "<script>", "\0", "<figure>", "<figcaption>", "é"]
+    for _ in range(3000):
+        media.parse("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))))
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumnRenamed("url", "items")
+    found = media.interleave(pages).collect()
+    assert len(found) == pages.count() and all([i.position for i in r["items"]] == list(range(len(r["items"]))) for r in found)
+    assert any(i.kind == "text" for r in found for i in r["items"])
+    store = media.read_back(media.store(spark.createDataFrame([(b"one",), (b"one",), (None,)], "data binary")))
+    digest = hashlib.sha256(media.padded(b"one")).hexdigest()
+    one = spark.createDataFrame([(1, f"a<img src='sha256:{digest}'>b", 5)], "page_id bigint, html string, digest int")
+    got = {r.position: (r.kind, r["text"], r.payload_bytes) for r in media.resolve(media.interleave(one), store).collect()}
+    assert got == {0: ("text", "a", None), 1: ("media", None, 64), 2: ("text", "b", None)}
+
+
+def linked_by_brute_force(rows):
+    """(n_linked, parent_turn, thread, depth) of each (conv, turn), by looking through all messages for each passage."""
+    told = {(c, t): quotes.parse(x) for c, t, x in rows}
+    said = {k: set(quotes.said_hashes(own)) for k, (own, _) in told.items()}
+    holds = lambda k, hashes: all(h in said[k] for h in hashes)
+    links, parent = {}, {}
+    for (conv, turn), (_, passages) in told.items():
+        near_of, n = [], 0
+        for at, (level, text) in enumerate(passages):
+            name = quotes.passage_hash(text)
+            if name is None:
+                continue
+            sets = quotes.piece_sets(text)
+            first = []  # of each way to say it, the first message of the conversation; of those, the first
+            for wanted in ([name], *(s["set"] for s in sets)):
+                first += [min((t for c, t in told if c == conv and holds((c, t), wanted)), default=None)]
+            first = [t for t in first if t is not None]
+            near = min(first) if first and min(first) < turn else None
+            far = False
+            for wanted, able in ([[name], quotes.is_long(text)], *([s["set"], s["far"]] for s in sets)):
+                far = far or (able and any(c != conv and holds((c, t), wanted) for c, t in told))
+            if near is not None:
+                near_of.append((level, at, near))
+            n += near is not None or far
+        links[conv, turn] = n
+        if near_of:
+            parent[conv, turn] = min(near_of)[2]
+    out = {}
+    for conv, turn in told:
+        root, depth = turn, 0
+        while (conv, root) in parent:
+            root, depth = parent[conv, root], depth + 1
+        out[conv, turn] = (links[conv, turn], parent.get((conv, turn)), root, depth)
+    return out
+
+
+def test_quotes_by_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["Yes", "maps", "bridge", "Friday", "letter", "agreed", "please", "we", "bring"])
+    line = lambda: " ".join(word() for _ in range(rng.randint(1, 6)))
+    rows, common = [], "a passage that everybody quotes"
+    for conv in range(40):
+        said = []
+        for turn in range(rng.randint(1, 14)):
+            own = [line() for _ in range(rng.randint(1, 3))]
+            if rng.random() < 0.2:
+                own.insert(1, "")
+            lines = []
+            if conv == 0 and turn == 0:
+                own.append(common)
+            elif rng.random() < 0.3:
+                lines.append(f"> {common}")
+            if said and rng.random() < 0.7:
+                lines += [f"{'>' * rng.randint(1, 3)} {x}" for x in rng.choice(said)[: rng.randint(1, 3)]]
+            rows.append((conv, turn, "\n".join(lines + own)))
+            said.append(own)
+    rows += [(99, t, f"> step number {t - 1} of the way\nstep number {t} of the way") for t in range(60)]  # a long thread
+    rows += [(200 + k, 0, f"> {common}\nthe answer of {k}") for k in range(2000)]
+    rows.append((98, 0, "> long " * 1 + "word " * 60000 + "\nshort"))
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").withColumns({c: quotes.F.lit(1) for c in ("mid", "own", "hash", "conv", "said", "thread")})
+    got = quotes.linked_conversations(df).select("_row.conv_id", quotes.F.col("_row.turn").alias("at"), "n_linked", "parent_turn", "thread", "depth").collect()
+    few = [r for r in rows if r[0] < 210]
+    want = linked_by_brute_force(few)
+    have = {(r.conv_id, r["at"]): (r.n_linked, r.parent_turn, r.thread, r.depth) for r in got}
+    assert len(have) == len(rows) and {k: have[k] for k in want} == want
+    assert all(have[200 + k, 0] == (1, None, 0, 0) for k in range(2000)) and have[99, 59] == (1, 58, 0, 59)
+
+
+def ppm(texts, lang, order=3):
+    """Probability of a byte after three others under one language, straight from the definition, for texts of fewer than 128 different bytes."""
+    import collections
+
+    counts, totals = collections.Counter(), collections.Counter()
+    for name, text in texts:
+        data = bytes(order) + text.encode()
+        for k in range(order, len(data)):
+            for o in range(order + 1):
+                counts[name, data[k - o : k], data[k]] += 1
+                totals[data[k - o : k]] += 1
+    alphabet = sorted({b for _, t in texts for b in t.encode()})
+    rest = 256 - len(alphabet)
+
+    def distribution(context):
+        if len(context) == 0:
+            below = dict.fromkeys(alphabet, 1 / 256) | {None: rest / 256}
+        else:
+            below = distribution(context[1:])
+            if totals[context] < langid.LEAST_COUNT:
+                return below
+        n = {s: counts[lang, context, s] if s is not None else 0 for s in below}
+        total, distinct = sum(n.values()), sum(v > 0 for v in n.values())
+        if not total:
+            return below
+        unseen = sum(p for s, p in below.items() if not n[s])
+        p = {s: v / (total + distinct) if v else distinct / (total + distinct) * below[s] / unseen for s, v in n.items()}
+        whole = sum(p.values())
+        return {s: v / whole for s, v in p.items()}
+
+    def probability(context, byte):
+        known = distribution(bytes(b if b in alphabet else 0 for b in context))  # other bytes are one symbol in contexts
+        return known[byte] if byte in alphabet else known[None] / rest
+
+    return probability
+
+
+def test_code_lengths_by_the_definition(spark):
+    import math
+
+    texts = [("x", "abracadabra cad"), ("x", "abc abd bra"), ("y", "zebra crab"), ("y", "cab zeb zeb")] * 2
+    # no id is held out, so that all of them are learned from
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in zip(ids, texts, strict=False)], "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    for probe in ("abrazeb", "qq crab", "zebra"):
+        bits = model.code_lengths([probe.encode()])[0]
+        for k, lang in enumerate(model.langs):
+            at, data = ppm(texts, lang), bytes(3) + probe.encode()
+            assert bits[k] == pytest.approx(sum(-math.log2(at(data[j - 3 : j], data[j])) for j in range(3, len(data))), rel=1e-3)
+
+
+def test_frequent_words_of_the_corpus(spark):
+    df = spark.createDataFrame([(1, "zqxa zqxb zqxa"), (2, None), (3, " zqxa  zqxb zqxc")], "doc_id bigint, text string")
+    assert bpe.frequent_words(df, "text", 2) == [" zqxa", " zqxb"]
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "the old bridge of the town", "en", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({c: quotes.F.lit(0) for c in ("ids", "decoded", "_row", "able", "h", "digest", "items", "spans", "n", "base", "score", "_w")})
+    for name, some in (("some", docs), ("none", docs.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for op in (langid, pii, bpe, media):
+            assert op.query(spark, f"{tmp_path}/{name}").count() == (2 if name == "some" else 0), (op.__name__, name)

@@ -1,10 +1,10 @@
 """Byte-level BPE by a minimal acyclic transducer lexicon.
 
-``compile_lexicon`` turns frequent words (by default the entries of the
-tokenizer's own vocabulary, which are the words its training found frequent)
-into one file: a shared-suffix automaton whose paths number the words, the ids
-that each numbered word is encoded as, and the merge table. The file's size is
-bounded by the vocabulary and the extra words. It reaches executors with
+``compile_lexicon`` turns frequent words (the ``FREQUENT_WORDS`` that the corpus
+holds most often, counted over all of it, and the entries of the tokenizer's own
+vocabulary) into one file: a shared-suffix automaton whose paths number the
+words, the ids that each numbered word is encoded as, and the merge table. The
+file's size is bounded by the vocabulary and that number. It reaches executors with
 ``SparkContext.addFile``, is memory-mapped there, and words outside the lexicon
 are merged exactly by the merge table. Both ways give the ids of the tokenizer.
 
@@ -41,6 +41,8 @@ from tidelog.llm.common import documents, map_arrow
 #: The byte-level pre-tokenizer's pattern (fixed value of the public vocabulary format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 MEMORY_WORDS = 400_000
+#: words of the corpus that go into the lexicon; any number gives the same ids
+FREQUENT_WORDS = 20_000
 BATCH_ROWS = 256
 _MAGIC = b"TLEX0001"
 
@@ -274,9 +276,15 @@ def lexicon_file(spark: SparkSession, tokenizer: str | None = None, extra_words:
     return os.path.basename(path)
 
 
-def encode(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None = None, extra_words: Iterable[str] = ()) -> DataFrame:
+def frequent_words(rows: DataFrame, text: str, most: int = FREQUENT_WORDS) -> list[str]:
+    """The ``most`` words between spaces that all texts hold most often, with the space before them; ties go to the least."""
+    counted = rows.select(F.explode(F.split(rows[text], " ")).alias("w")).filter("w <> '' AND length(w) <= 64").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return [f" {r.w}" for r in counted.orderBy(F.col("n").desc(), "w").limit(most).collect()]
+
+
+def encode(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None = None, frequent: int = FREQUENT_WORDS) -> DataFrame:
     """``_row`` (the kept columns), ``ids`` array<int>, and ``decoded``, the text that the ids decode to."""
-    name = lexicon_file(rows.sparkSession, tokenizer, extra_words)
+    name = lexicon_file(rows.sparkSession, tokenizer, frequent_words(rows, text, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _open:

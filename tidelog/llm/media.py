@@ -13,7 +13,7 @@ read: samples, mean, deviation, entropy, roughness and a 16-bin histogram.
 
 Defined results: a null text is empty and its payload 64 zero bytes. Null HTML
 has no items. Malformed HTML is parsed as far as it goes, unclosed elements
-included; scripts and styles hold no text. References without a payload resolve
+included, and marked sections are text; scripts and styles hold no text. References without a payload resolve
 to nulls. Repeated rows share a payload; equal texts give equal values. An empty
 table gives an empty table; extra columns pass through ``interleave``.
 """
@@ -92,6 +92,14 @@ class _Items(HTMLParser):
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections of any keyword, or none, are text, as far as the next ``>``."""
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            return -1
+        self.handle_data(self.rawdata[i : end + 1])
+        return end + 1
+
     def end_text(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
@@ -217,7 +225,7 @@ def resolve(sequences: DataFrame, media: DataFrame, prefix: str = "sha256:") ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    media = read_back(store(docs.select(raw.alias("data"))))
+    media = cut(read_back(store(docs.select(raw.alias("data")))))
     n = F.octet_length(raw)
     zeros = F.when(n == 0, F.lit(SAMPLES)).otherwise(F.pmod(-n, F.lit(SAMPLES)))
     digest = F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), zeros))), 256)
