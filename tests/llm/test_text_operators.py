@@ -366,7 +366,19 @@ def test_code_lengths_by_the_definition(spark):
 
 def test_frequent_words_of_the_corpus(spark):
     df = spark.createDataFrame([(1, "zqxa zqxb zqxa"), (2, None), (3, " zqxa  zqxb zqxc")], "doc_id bigint, text string")
-    assert bpe.frequent_words(df, "text", 2) == [" zqxa", " zqxb"]
+    assert bpe.frequent_words(df, "text", 4) == [" zqxa", " zqxb"] and bpe.frequent_words(df, "text", 3) == [" zqxa"]
+    assert bpe.frequent_words(df.limit(0), "text") == []
+
+
+def test_both_splits_agree():
+    import regex
+
+    wide, rng = regex.compile(bpe.PATTERN), random.Random(9)
+    for k in range(256):
+        assert wide.findall(f"a{chr(k)}1 {chr(k)}") == bpe.NARROW.findall(f"a{chr(k)}1 {chr(k)}"), k
+    for _ in range(3000):
+        text = "".join(chr(rng.choice((rng.randrange(256), rng.choice(b" \n\t'stdl19aZ")))) for _ in range(rng.randint(1, 40)))
+        assert wide.findall(text) == bpe.NARROW.findall(text), text
 
 
 def test_empty_tables_and_clashing_columns(spark, tmp_path):

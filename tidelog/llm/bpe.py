@@ -1,7 +1,7 @@
 """Byte-level BPE by a minimal acyclic transducer lexicon.
 
-``compile_lexicon`` turns frequent words (the ``FREQUENT_WORDS`` that the corpus
-holds most often, counted over all of it, and the entries of the tokenizer's own
+``compile_lexicon`` turns frequent words (those that make up one word in
+``FREQUENT_WORDS`` or more of the corpus, counted over all of it, and the entries of the tokenizer's own
 vocabulary) into one file: a shared-suffix automaton whose paths number the
 words, the ids that each numbered word is encoded as, and the merge table. The
 file's size is bounded by the vocabulary and that number. It reaches executors with
@@ -23,6 +23,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 from array import array
@@ -36,12 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import documents, map_arrow
+from tidelog.llm.common import cut, documents, free, map_arrow
 
 #: The byte-level pre-tokenizer's pattern (fixed value of the public vocabulary format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same for texts of code points below 256, with the classes written out, for the faster of two regex engines.
+_LETTER, _NUMBER, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+NARROW = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{_LETTER}{_NUMBER}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 MEMORY_WORDS = 400_000
-#: words of the corpus that go into the lexicon; any number gives the same ids
+#: the corpus's words that go into the lexicon: those that make up one in so many, or more, so at most so many; ids do not depend on it
 FREQUENT_WORDS = 20_000
 BATCH_ROWS = 256
 _MAGIC = b"TLEX0001"
@@ -199,6 +203,17 @@ def compile_lexicon(tokenizer: str, target: str, extra_words: Iterable[str] = ()
             f.write(struct.pack("<Q", len(raw)) + raw + b"\0" * (-len(raw) % 4))
 
 
+class _Known(dict):
+    """Packed ids of the words that a worker has met."""
+
+    def __init__(self, word):
+        self.word = word
+
+    def __missing__(self, w: str) -> bytes:
+        found = self[w] = array("i", self.word(w)).tobytes()
+        return found
+
+
 class Lexicon:
     """The memory-mapped lexicon: looks words up and merges those that it lacks."""
 
@@ -222,7 +237,7 @@ class Lexicon:
         self.special = json.loads(bytes(view[slice(*spans[11])]))["special"]
         self.by_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.splits = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.word)
 
     def find(self, word: bytes) -> list[int] | None:
         state, number, first, find, base = 0, 0, self.first, self.map.find, self.labels
@@ -239,16 +254,17 @@ class Lexicon:
         found = self.find(raw)
         return self.merger(raw) if found is None else found
 
+    def _split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.splits.findall(text)
+        return NARROW.findall(text)
+
     def _packed(self, text: str) -> list[bytes]:
-        known, out = self.known, []
-        for w in self.splits.findall(text):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= MEMORY_WORDS:
-                    known.clear()
-                ids = known[w] = array("i", self.word(w)).tobytes()
-            out.append(ids)
-        return out
+        if len(self.known) >= MEMORY_WORDS:
+            self.known.clear()
+        return list(map(self.known.__getitem__, self._split(text)))
 
     def encode(self, text: str) -> np.ndarray:
         packed, at = [], 0
@@ -277,9 +293,12 @@ def lexicon_file(spark: SparkSession, tokenizer: str | None = None, extra_words:
 
 
 def frequent_words(rows: DataFrame, text: str, most: int = FREQUENT_WORDS) -> list[str]:
-    """The ``most`` words between spaces that all texts hold most often, with the space before them; ties go to the least."""
-    counted = rows.select(F.explode(F.split(rows[text], " ")).alias("w")).filter("w <> '' AND length(w) <= 64").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [f" {r.w}" for r in counted.orderBy(F.col("n").desc(), "w").limit(most).collect()]
+    """The words between spaces, with the space before them, that make up at least one in ``most`` of the words of all texts."""
+    counted = cut(rows.select(F.explode(F.split(rows[text], " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.filter((F.col("n") * most >= total) & (F.col("w") != "")).select("w").collect()
+    free(counted)
+    return sorted(f" {r.w}" for r in found)
 
 
 def encode(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None = None, frequent: int = FREQUENT_WORDS) -> DataFrame:
