@@ -288,8 +288,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
         sets = cut(full_sets(docs, wanted(open_nodes, open_nodes.count()), width))
         labels = _settle(candidates(sets, labels, percent), sets, labels, percent)
         free(sets)
-    owner = _with_component(classes.select("node", "name", "least"), labels)
-    named = owner.join(owner.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("name", "component_id", "comp")
+    owner = cut(_with_component(classes.select("node", "name", "least"), labels))
+    first = cut(owner.groupBy("comp").agg(F.min("least").alias("component_id")))
+    named = owner.join(first, "comp").select("name", "component_id", "comp")
     full = every.select("doc_id", "h", "n", "name").join(named, "name", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return full.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "comp")
