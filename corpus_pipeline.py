@@ -4,6 +4,15 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``. Every stage works
 on all rows that its predecessor kept. All but the last return the columns of
 ``documents``; where a stage changes a text, ``n_chars`` follows it.
+
+Defined results: quality rules reject null and empty texts and those without
+stop words of the languages listed there, so later stages see neither; given
+them, near-dedup keeps each text without words, personal data leaves a null
+null, mixing takes none of size 0, and encoding gives no ids. Null ids, sources
+and languages pass through; different texts under one id, or none, stay apart.
+Repeated rows are copies, of which one stays. Very long texts are judged,
+redacted and encoded whole. Columns beside those of ``documents`` pass through
+all stages but the last, whatever their names. An empty table gives empty ones.
 """
 
 from __future__ import annotations
