@@ -6,8 +6,8 @@
 2. Inverted lists of retained values generate overlaps. A list holds the sketches
    that retain the same ``RUN`` values one after the other in hash order; texts
    that share passages only seldom do, linked ones do many times. A pair at the
-   threshold has no such run in common once in 10**10 times, and only one once
-   in 10**9. Sketches that hold whole sets make lists of single values besides,
+   threshold has no such run in common about once in 10**10 times, and only one
+   about twice in 10**9. Sketches that hold whole sets make lists of single values besides,
    the rarest ones that by the similarity one of must be shared: exactly.
 3. Lists emit stars, not pairs: every member meets the list's most popular one.
    The union sketch (the ``k`` smallest of two sketches together) estimates the
