@@ -134,7 +134,7 @@ def test_personal_data(spark, tmp_path):
             assert getattr(r, f"n_{kind}") == len(found)
             base += [f"{kind}:{m.start()}:{m.end()}" for m in found]
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
-        assert set(base) <= set(r.spans.split(",")) | {""}
+        assert set(base) <= set(r.spans.split(",")) | {""} and r.n_spans == len([x for x in r.spans.split(",") if x])
     spans = {r.doc_id: r.spans for r in got}
     assert [s.split(":")[0] for s in spans[1].split(",")] == ["email", "phone", "secret"] and spans[2] == ""
     df = spark.createDataFrame([(1, texts[1], "k"), (2, None, "k")], "_t bigint, text string, base string")
@@ -227,6 +227,14 @@ def test_interleaved_sequences(spark):
     assert [r.text for r in got if r["_row"]["page_id"] == 3] == ["alone"]
 
 
+def test_captions_before_their_media_and_alone():
+    first = media.parse("<figure><figcaption>Seen <i>at</i> dawn</figcaption><img src='a'><img src='b'></figure>end")
+    assert [(i["kind"], i["ref"], i["caption"], i["text"]) for i in first] == [("media", "a", "Seen at dawn", None), ("media", "b", "Seen at dawn", None), ("text", None, None, "end")]
+    twice = media.parse("<figure><figcaption>one</figcaption><img src='a'><figcaption>two</figcaption><figure><img src='b'></figure>")
+    assert [(i["ref"], i["caption"]) for i in twice] == [("a", "one two"), ("b", None)]
+    assert [i["text"] for i in media.parse("before<figcaption>said</figcaption>after<figure>in<figcaption>alone</figcaption></figure>")] == ["before", "said", "after", "in", "alone"]
+
+
 def test_malformed_html_and_pages(spark):
     assert [i["text"] for i in media.parse("<![foo[x]]>after")] == ["<![foo[x]]>after"]
     rng = random.Random(6)

@@ -91,6 +91,7 @@ class _Items(HTMLParser):
         self.hidden = 0
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
+        self.said: list[str] = []
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Marked sections of any keyword, or none, are text, as far as the next ``>``."""
@@ -110,10 +111,13 @@ class _Items(HTMLParser):
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag == "figcaption":
+            self.end_caption()
+            self.end_text()
             self.caption = []
         elif tag in _BREAKS:
             self.end_text()
             if tag == "figure":
+                self.end_figure()
                 self.figure = []
         elif tag in _MEDIA:
             got = dict(attrs)
@@ -126,23 +130,33 @@ class _Items(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag in ("figcaption", "figure"):
+        elif tag == "figcaption":
             self.end_caption()
-            if tag == "figure":
-                self.end_text()
-                self.figure = None
+        elif tag == "figure":
+            self.end_figure()
         elif tag in _BREAKS:
             self.end_text()
 
     def end_caption(self) -> None:
+        """A caption waits for the end of its figure, whose media may follow it; outside of one it is text."""
         if self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            if self.figure:
-                for k in self.figure:
-                    self.items[k]["caption"] = said or None
+            said, self.caption = " ".join("".join(self.caption).split()), None
+            if said and self.figure is not None:
+                self.said.append(said)
             elif said:
                 self.items.append({"kind": "text", "text": said, "ref": None, "alt": None, "caption": None})
-            self.caption = None
+
+    def end_figure(self) -> None:
+        """All media of a figure bear its caption; without media the caption is text."""
+        self.end_caption()
+        self.end_text()
+        said, self.said = " ".join(self.said), []
+        if said and self.figure:
+            for k in self.figure:
+                self.items[k]["caption"] = said
+        elif said:
+            self.items.append({"kind": "text", "text": said, "ref": None, "alt": None, "caption": None})
+        self.figure = None
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -153,8 +167,7 @@ def parse(html: str | None) -> list[dict]:
     reader = _Items()
     reader.feed(html or "")
     reader.close()
-    reader.end_caption()
-    reader.end_text()
+    reader.end_figure()
     return [{"position": k, **item} for k, item in enumerate(reader.items)]
 
 

@@ -223,4 +223,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.expr(f"array_sort(transform(concat(base, added), x -> named_struct('r', {rank.replace('kind ', 'x.kind ', 1)}, 's', x.s, 'e', x.e, 'kind', x.kind)))")
     out = once(found, _all=ordered)
     counts = [F.expr(f"bigint(size(filter(base, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in BASE]
-    return out.select("_row.doc_id", *counts, F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"), F.expr(joined.format("_all")).alias("spans"))
+    return out.select("_row.doc_id", *counts, F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"), F.expr(joined.format("_all")).alias("spans"), F.size("_all").cast("bigint").alias("n_spans"))
