@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import cut, map_arrow
+from tidelog.llm.common import cut, free, map_arrow
 
 _MARKS = regex.compile(r"^(?:[ \t]{0,3}>)++[ \t]?")
 _ATTRIBUTION = regex.compile(r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.{1,80}\b(?:wrote|said))\s*:\s*$")
@@ -160,12 +160,16 @@ def _said_in_pieces(keyed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     firsts = _firsts(first.withColumnRenamed("turn", "said_turn"), "whole")
     both = anywhere.join(firsts, "whole").select("set", F.explode(F.array("first", "second")).alias("at")).filter("at IS NOT NULL").select("set", "at.conv", "at.said_turn")
     anywhere = _firsts(both, "set").withColumnsRenamed({"first": "set_first", "second": "set_second"})
-    return cut(in_conv), cut(anywhere)
+    tables = cut(in_conv), cut(anywhere)
+    free(sets, said)
+    return tables
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
     """One row a message: ``_row``, own, n_quotes, n_linked, parent_turn, thread, depth."""
-    every = cut(parsed(messages))
+    # the text a message says itself is kept beside its row only where quotes were taken out of it
+    slim = F.transform("quoted", lambda q: q.dropFields("text"))
+    every = cut(parsed(messages).withColumn("own", F.when(F.size("quoted") > 0, F.col("own"))).withColumn("quoted", slim))
     keyed = every.filter("conv IS NOT NULL AND turn IS NOT NULL")
     wanted = keyed.select("conv", "turn", F.posexplode("quoted").alias("at", "q")).select("conv", "turn", "at", "q.level", "q.hash", "q.long", "q.sets").filter("hash IS NOT NULL").distinct()
     wanted = cut(wanted)
@@ -190,19 +194,24 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
             F.min(F.when(F.col("near").isNotNull(), F.struct("level", "at", "near")))["near"].alias("parent_turn"),
         )
     )
+    free(wanted, said, in_conv, anywhere)
     # follow replies to the message that opened the thread
     up = cut(per.filter("parent_turn IS NOT NULL").select("conv", "turn", F.col("parent_turn").alias("root"), F.lit(1).cast("long").alias("depth")))
-    while up.take(1):
+    moved = bool(up.take(1))
+    while moved:
         above = up.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("root").alias("next"), F.col("depth").alias("more"))
         step = cut(
             up.join(above, (up["conv"] == above["c"]) & (up["root"] == above["t"]), "left").select(
                 "conv", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")
             )
         )
-        up = step.drop("moved")
-        if not step.filter("moved").take(1):
-            break
-    whole = every.join(per, ["conv", "turn"], "left").join(up, ["conv", "turn"], "left")
+        free(up)
+        up, moved = step, bool(step.filter("moved").take(1))
+    told = per.join(up.select("conv", "turn", "root", "depth"), ["conv", "turn"], "left")
+    # messages without quotes reply to nothing: their texts do not move
+    quoting = every.filter("size(quoted) > 0").join(told, ["conv", "turn"], "left")
+    plain = every.filter("size(quoted) = 0").withColumn("own", F.col("_row.text"))
+    whole = quoting.unionByName(plain, allowMissingColumns=True)
     return whole.select(
         "_row",
         "own",
