@@ -32,6 +32,16 @@ def test_language_held_out(spark, tmp_path):
     assert langid.identify(nothing, langid.train(nothing)).first().lang_pred == "und"
 
 
+def test_the_documents_to_learn_from_are_the_first_by_hash(spark):
+    rows = [(k, f"text {k % 1990}", "ab"[k % 7 == 0]) for k in range(2000)] + [(k, "the same text", "c") for k in range(40)] + [(3, "one row again", "d")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    ranked = docs.filter(~langid.held_out("doc_id")).withColumn("h", langid.F.xxhash64("doc_id", "text")).collect()
+    for most in (1, 10, 5000):
+        want = [(lang, r.text) for lang in "abcd" for r in sorted((r for r in ranked if r.lang == lang), key=lambda r: r.h)[:most]]
+        got = [tuple(r) for r in langid.training_sample(docs, most).collect()]
+        assert sorted(x for x in got if x[0] != "d") == sorted(x for x in want if x[0] != "d") and {x for x in got if x[0] == "d"} == {x for x in want if x[0] == "d"}
+
+
 def test_code_lengths_are_of_a_distribution(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(["abracadabra", "abc abd", "zebra"] * 3)], "doc_id bigint, text string, lang string")
     model = langid.train(docs)

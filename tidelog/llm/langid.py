@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, documents, map_arrow
+from tidelog.llm.common import cut, documents, free, map_arrow
 
 ORDER = 3
 TRAIN_DOCS = 1500
 SYMBOLS = 127
 LEAST_COUNT = 2
+#: hashes fall into 2 ** BIN_BITS groups of as many bins, by whose counts the documents to learn from are found
+BIN_BITS = 9
 _ROWS = 256
 
 
@@ -43,12 +45,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _last_bin(counts: DataFrame, most: int) -> DataFrame:
+    """(lang, _upto): the bin in which a language's first ``most`` rows end, by groups of bins and then within one."""
+    before = lambda order: F.coalesce(F.sum("_n").over(W.partitionBy("lang").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grouped = counts.withColumn("_group", F.shiftright("_bin", BIN_BITS))
+    groups = grouped.groupBy("lang", "_group").agg(F.sum("_n").alias("_n")).withColumn("_before", before("_group"))
+    last = cut(groups.filter(F.col("_before") < most).groupBy("lang").agg(F.max(F.struct("_group", "_before")).alias("_last")).select("lang", "_last.*"))
+    inside = grouped.join(last, ["lang", "_group"]).withColumn("_at", F.col("_before") + before("_bin"))
+    return inside.filter(F.col("_at") < most).groupBy("lang").agg(F.max("_bin").alias("_upto"))
+
+
 def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
     """(lang, text) of at most ``per_language`` labelled documents that are not held out."""
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    named = able.select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    # Spark limits each partition to the first rows of a language before it shuffles
-    first = named.withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("_at") <= per_language)
+    named = able.select("lang", F.xxhash64("doc_id", "text").alias("h")).withColumn("_bin", F.shiftright("h", 64 - 2 * BIN_BITS))
+    # counts of bins of hashes tell which bins hold the first ones, so only those rows are ordered
+    counts = cut(named.groupBy("lang", "_bin").agg(F.count(F.lit(1)).alias("_n")))
+    upto = cut(_last_bin(counts, per_language))
+    free(counts)
+    first = named.join(upto, "lang").filter("_bin <= _upto")
+    first = first.withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("_at") <= per_language)
     chosen = cut(first.select(F.col("lang").alias("_lang"), F.col("h").alias("_h")).distinct())
     keyed = able.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     return keyed.join(chosen, (keyed["lang"] == chosen["_lang"]) & (keyed["h"] == chosen["_h"]), "left_semi").select("lang", "text")
