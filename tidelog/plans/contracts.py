@@ -318,3 +318,24 @@ def append_coalescing(spark, sf_dir):
 def consume_until(spark, sf_dir):
     """A consumer that stops after 500 records, in the order of topics, partitions and offsets."""
     return records(spark, sf_dir, "event_type").select("topic", "partition", "offset", "key").orderBy("topic", "partition", "offset").limit(500)
+
+
+@query("""WITH m AS (SELECT lower(n_name) AS topic, 1 + n_nationkey % 4 AS n FROM nation WHERE n_regionkey > 0), t AS (SELECT topic FROM m UNION SELECT lower(n_name) FROM nation)
+SELECT topic, unnest(range(0, coalesce(n, 1)))::INT AS partition, n IS NULL AS migrated FROM t LEFT JOIN m USING (topic)""")
+def topic_catalog(spark, sf_dir):
+    """Topics by partition; those of one region have no manifest."""
+    nation = table(spark, sf_dir, "nation").withColumn("topic", F.lower("n_name"))
+    lines = text.manifest_lines(nation.filter("n_regionkey > 0").select("topic", (1 + F.col("n_nationkey") % 4).alias("partition_count"), F.lit("2024-01-01T00:00:00Z").alias("created_at_utc")))
+    read = lines.select(F.get_json_object("manifest", "$.topic").alias("topic"), F.get_json_object("manifest", "$.partition_count").cast("int").alias("partition_count"))
+    return text.catalog(nation, read)
+
+
+@query(f"""WITH {records_sql()} SELECT 'reader' AS "group", topic, partition, (max(off) + 1)::BIGINT AS next_offset, count(*)::BIGINT AS records FROM rec GROUP BY topic, partition""")
+def stream_commits(spark, sf_dir):
+    """A group that reads a written log as a stream: its last commit a partition, and the records it read."""
+    path = _fresh(spark)
+    store.write_log(records(spark, sf_dir), path)
+    live = spark.readStream.schema(store.RECORDS).option("basePath", path).parquet(path)
+    read, commits = streams.consume(live, "reader")
+    last = commits.groupBy("group", "topic", "partition").agg(F.max_by("next_offset", "seq").alias("next_offset"))
+    return last.join(read.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("records")), ["topic", "partition"])

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidelog.sources.codec import decode_log
 
 SCHEMA = "topic string, partition int, offset bigint, timestamp_unix_ns bigint, key binary, value binary, encoded_byte_size bigint"
 
+#: records of one Arrow batch
+BATCH_ROWS = 1 << 14
+_COLUMNS = [("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64()), ("timestamp_unix_ns", pa.int64()), ("key", pa.binary()), ("value", pa.binary()), ("encoded_byte_size", pa.int64())]
+
 
 class Span(InputPartition):
     def __init__(self, folder: str, start: int, end: int):
@@ -52,6 +58,12 @@ def _next(folder: str) -> int:
     return last
 
 
+def _batches(folder: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    records = _records(folder, start, end)
+    while rows := list(itertools.islice(records, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows, strict=True), _COLUMNS, strict=True)], [name for name, _ in _COLUMNS])
+
+
 class _Batch(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -59,8 +71,8 @@ class _Batch(DataSourceReader):
     def partitions(self) -> list[Span]:
         return [Span(f, 0, 1 << 62) for f in _folders(self.path)]
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        yield from _records(partition.folder, partition.start, partition.end)
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        yield from _batches(partition.folder, partition.start, partition.end)
 
 
 class _Stream(DataSourceStreamReader):
@@ -76,8 +88,8 @@ class _Stream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Span]:
         return [Span(f, start.get(f, 0), e) for f, e in end.items() if e > start.get(f, 0)]
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        yield from _records(partition.folder, partition.start, partition.end)
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        yield from _batches(partition.folder, partition.start, partition.end)
 
     def commit(self, end: dict) -> None:
         return

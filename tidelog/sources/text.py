@@ -42,6 +42,13 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return found.select(got("topic").alias("topic"), got("partition_count").cast("int").alias("partition_count"), got("created_at_utc").alias("created_at_utc"))
 
 
+def catalog(folders: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(topic, partition, migrated) of all topics that have a folder or a manifest; one without a manifest has one partition and gets a manifest."""
+    have = manifests.select("topic", F.col("partition_count").alias("_count"))
+    counted = folders.select("topic").unionByName(have.select("topic")).distinct().join(have, "topic", "left")
+    return counted.select("topic", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("_count", F.lit(1)), F.lit(1)) - 1)).alias("partition"), F.col("_count").isNull().alias("migrated"))
+
+
 def manifest_lines(topics: DataFrame) -> DataFrame:
     return topics.select("topic", F.to_json(F.struct("topic", "partition_count", "created_at_utc")).alias("manifest"))
 

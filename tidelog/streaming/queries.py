@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidelog.sources.text import offset_log_lines, parse_offset_log
 
 
 def _folder(spark: SparkSession) -> str:
@@ -54,8 +57,49 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     if mode == "complete":
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return followed(stream, folder)
+
+
+def follow(stream: DataFrame, folder: str, every: str = "1 second") -> StreamingQuery:
+    """A running stream that waits for records and gives those of each turn to a part of ``folder``; ``followed`` reads them.
+
+    The engine waits, not the reader: a turn that finds nothing writes nothing.
+    A part written again after a restart replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/_batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(processingTime=every).start()
+
+
+def followed(stream: DataFrame, folder: str) -> DataFrame:
+    """What ``drain``, ``follow`` or ``consume`` have written of ``stream`` so far."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return spark.read.schema(f"{kinds}, _batch int").option("basePath", f"{folder}/out").parquet(f"{folder}/out/_batch=*").drop("_batch")
+    return stream.sparkSession.read.schema(f"{kinds}, _batch int").option("basePath", f"{folder}/out").parquet(f"{folder}/out/_batch=*").drop("_batch")
+
+
+def consume(stream: DataFrame, group: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, commits) of a group that reads (topic, partition, offset, ...) to its end and commits after each batch.
+
+    Records are written before their commits (group, seq, topic, partition,
+    next_offset), both under the batch's number, so a consumer that is run again
+    with its ``folder`` goes on after the last commit and repeats nothing. A
+    batch that was lost between the two is written again as a whole.
+    """
+    spark = stream.sparkSession
+    folder = folder or _folder(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        part = f"{folder}/out/_batch={number}"
+        batch.write.mode("overwrite").parquet(part)
+        commits = spark.read.schema(batch.schema).parquet(part).groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
+        lines = offset_log_lines(commits.select(F.lit(group).alias("group"), F.lit(number).cast("bigint").alias("seq"), "topic", "partition", "next_offset"))
+        lines.write.mode("overwrite").parquet(f"{folder}/commits/_batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    lines = spark.read.schema("group string, seq bigint, line string, _batch int").option("basePath", f"{folder}/commits").parquet(f"{folder}/commits/_batch=*")
+    return followed(stream, folder), parse_offset_log(lines.drop("_batch"))
 
 
 def consumed_offsets(stream: DataFrame, keys: list[str], offset: str) -> DataFrame:
