@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 
 import pytest
 from tokenizers import Tokenizer
@@ -193,7 +194,7 @@ def test_bpe_equals_the_library(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
-def test_lexicon_and_merges_agree(tmp_path):
+def test_lexicon_and_merges_agree(tmp_path, monkeypatch):
     path = str(tmp_path / "l.bin")
     bpe.compile_lexicon(bpe.default_tokenizer(), path, ["unseenword", " another"])
     lexicon = bpe.Lexicon(path)
@@ -202,6 +203,14 @@ def test_lexicon_and_merges_agree(tmp_path):
     assert lexicon.find(b"zzqx") is None and lexicon.find(b"") is None
     for w in (b"a" * 300, b"the" * 90, bytes(range(65, 91)) * 5):
         assert lexicon.merger._short(list(map(lexicon.merger.byte_ids.__getitem__, w))) == lexicon.merger._long(list(map(lexicon.merger.byte_ids.__getitem__, w)))
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b" abcdeinrst\xc3\xa9th\0\xff") for _ in range(n)) for n in [*range(1, 90), *[7] * 300]] + [b"aa" * 30, b"the"]
+    assert lexicon.merger.many(words) == [array("i", lexicon.merger(w)).tobytes() for w in words] and lexicon.merger.many([]) == []
+    texts = ["", "the the unseenword <|endoftext|> zzqx", "<|endoftext|>", " ", "a" * 100, "é ☃ the"] * 3
+    apart = [lexicon.encode(t).tolist() for t in texts]
+    lexicon.known.clear()
+    monkeypatch.setattr(bpe, "TOGETHER", 30)
+    assert [x.tolist() for x in lexicon.encode_many(texts)] == apart == [Tokenizer.from_file(bpe.default_tokenizer()).encode(t, add_special_tokens=False).ids for t in texts]
     states, final = bpe.minimal_automaton([b"tap", b"taps", b"top", b"tops"])
     assert len(states) == 5 and sum(final) == 2  # suffixes are shared
 

@@ -13,7 +13,7 @@ or empty text has no ids and decodes to the empty string; the special token's
 string in a text becomes its id, as the tokenizers library has it; null ids of
 documents, ties and repeated rows are handled row by row; an empty table gives
 an empty table; extra columns pass through. Words of any length are merged in
-n log n steps. A worker remembers words up to ``MEMORY_WORDS`` and then starts
+n log n steps; short ones are merged in NumPy, many at once. A worker remembers words up to ``MEMORY_WORDS`` and then starts
 afresh, so memory is bounded and results do not depend on it.
 """
 
@@ -28,6 +28,7 @@ import struct
 import tempfile
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,10 @@ MEMORY_WORDS = 400_000
 #: the corpus's words that go into the lexicon: those that make up one in so many, or more, so at most so many; ids do not depend on it
 FREQUENT_WORDS = 20_000
 BATCH_ROWS = 256
+#: characters whose words a worker looks up together
+TOGETHER = 1 << 20
 _MAGIC = b"TLEX0001"
+_NONE = 1 << 40
 
 
 def default_tokenizer() -> str:
@@ -69,11 +73,71 @@ class Merger:
 
     def __init__(self, byte_ids: list[int], ranks: dict[int, int], made: list[int]):
         self.byte_ids, self.ranks, self.made = byte_ids, ranks, made
+        self._keys: np.ndarray | None = None
 
     def __call__(self, word: bytes) -> list[int]:
         ids = list(map(self.byte_ids.__getitem__, word))
         return self._short(ids) if len(ids) <= 64 else self._long(ids)
 
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word: words of like length are merged together, one pair a word and step."""
+        out: list[bytes] = [b""] * len(words)
+        by: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            by.setdefault(0 if len(word) > 64 else len(word) + 3 & ~3, []).append(k)
+        for k in by.pop(0, ()):
+            out[k] = array("i", self(words[k])).tobytes()
+        for width, places in by.items():
+            raw = b"".join(words[k].ljust(width, b"\0") for k in places)
+            sizes = np.array([len(words[k]) for k in places])
+            ids, lengths = self._together(np.frombuffer(raw, np.uint8).reshape(-1, width), sizes)
+            ends = (4 * np.cumsum(lengths)).tolist()
+            packed = ids[np.arange(width) < lengths[:, None]].astype("<i4").tobytes()
+            for k, start, end in zip(places, [0, *ends], ends, strict=False):
+                out[k] = packed[start:end]
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._order[at], _NONE)
+
+    def _together(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self._keys is None:
+            keys = np.array([*self.ranks.keys(), -1], np.int64)
+            order = np.argsort(keys)
+            self._keys, self._order = keys[order], np.array([*self.ranks.values(), _NONE], np.int64)[order]
+            self._made, self._of = np.array([*self.made, 0], np.int64), np.array(self.byte_ids, np.int64)
+            self._pairs = self._ranks(np.repeat(self._of, 256), np.tile(self._of, 256))
+        m, width = raw.shape
+        column = np.arange(width)
+        done, lengths = self._of[raw], sizes.copy()
+        # the rank of a place is that of it and the next one
+        ranks = np.full((m, width), _NONE)
+        ranks[:, :-1] = self._pairs[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+        ranks[column >= sizes[:, None] - 1] = _NONE
+        live, ids = np.arange(m), done
+        while len(live):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(live)), at]
+            going = best < _NONE
+            if not going.all():
+                done[live[~going]] = ids[~going]
+                live, ids, ranks, at, best = live[going], ids[going], ranks[going], at[going], best[going]
+                if not len(live):
+                    break
+            rows = np.arange(len(live))
+            lengths[live] -= 1
+            left = lengths[live]
+            after = np.minimum(column + (column > at[:, None]), width - 1)
+            ids, ranks = np.take_along_axis(ids, after, 1), np.take_along_axis(ranks, after, 1)
+            ids[rows, at] = self._made[best]
+            ranks[rows, left - 1] = _NONE
+            for first, able in ((at, at + 1 < left), (at - 1, at > 0)):
+                r, f = rows[able], first[able]
+                ranks[r, f] = self._ranks(ids[r, f], ids[r, f + 1])
+        return done, lengths
+
     def _short(self, ids: list[int]) -> list[int]:
         get, made, none = self.ranks.get, self.made, 1 << 40
         ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
@@ -203,17 +267,6 @@ def compile_lexicon(tokenizer: str, target: str, extra_words: Iterable[str] = ()
             f.write(struct.pack("<Q", len(raw)) + raw + b"\0" * (-len(raw) % 4))
 
 
-class _Known(dict):
-    """Packed ids of the words that a worker has met."""
-
-    def __init__(self, word):
-        self.word = word
-
-    def __missing__(self, w: str) -> bytes:
-        found = self[w] = array("i", self.word(w)).tobytes()
-        return found
-
-
 class Lexicon:
     """The memory-mapped lexicon: looks words up and merges those that it lacks."""
 
@@ -237,7 +290,7 @@ class Lexicon:
         self.special = json.loads(bytes(view[slice(*spans[11])]))["special"]
         self.by_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.splits = regex.compile(PATTERN)
-        self.known = _Known(self.word)
+        self.known: dict[str, bytes] = {}  # packed ids of the words that a worker has met
 
     def find(self, word: bytes) -> list[int] | None:
         state, number, first, find, base = 0, 0, self.first, self.map.find, self.labels
@@ -261,20 +314,54 @@ class Lexicon:
             return self.splits.findall(text)
         return NARROW.findall(text)
 
-    def _packed(self, text: str) -> list[bytes]:
-        if len(self.known) >= MEMORY_WORDS:
-            self.known.clear()
-        return list(map(self.known.__getitem__, self._split(text)))
+    def learn(self, words: Iterable[str]) -> None:
+        """Remembers the ids of words: those in the lexicon from there, the others merged together."""
+        unseen = []
+        for w in words:
+            found = self.find(raw := w.encode())
+            if found is None:
+                unseen.append((w, raw))
+            else:
+                self.known[w] = array("i", found).tobytes()
+        if unseen:
+            self.known.update(zip([w for w, _ in unseen], self.merger.many([raw for _, raw in unseen]), strict=True))
+
+    def _pieces(self, text: str) -> list[list[str] | int]:
+        """The words between special tokens, and the ids of those."""
+        if self.by_special is None or not self.by_special.search(text):
+            return [self._split(text)]
+        found, at = [], 0
+        for m in self.by_special.finditer(text):
+            found += [self._split(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return [*found, self._split(text[at:])]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the words of many texts, up to ``TOGETHER`` characters or one text, are looked up together."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+                size += len(texts[end])
+                end += 1
+            if len(self.known) >= MEMORY_WORDS:
+                self.known.clear()
+            group = [self._pieces(t) for t in texts[at:end]]
+            missing: set[str] = set()
+            for pieces in group:
+                for piece in pieces:
+                    if not isinstance(piece, int):
+                        missing.update(filterfalse(self.known.__contains__, piece))
+            self.learn(missing)
+            for pieces in group:
+                packed = b"".join([array("i", [p]).tobytes() if isinstance(p, int) else b"".join(map(self.known.__getitem__, p)) for p in pieces])
+                out.append(np.frombuffer(packed, np.int32))
+            at = end
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        packed, at = [], 0
-        if self.by_special is not None:
-            for m in self.by_special.finditer(text):
-                packed += self._packed(text[at : m.start()])
-                packed.append(array("i", [self.special[m[0]]]).tobytes())
-                at = m.end()
-        packed += self._packed(text[at:] if at else text)
-        return np.frombuffer(b"".join(packed), np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.texts.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -312,7 +399,7 @@ def encode(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None =
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                ids = [lexicon.encode(t or "") for t in batch.column(1).to_pylist()]
+                ids = lexicon.encode_many([t or "" for t in batch.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
