@@ -39,6 +39,68 @@ def test_membership(spark):
     assert told(rows)[-1] == (4, "none", 0, ["m0", "m1", "m2"])  # one sweep, one generation
 
 
+def walked(rows):
+    """Members a step an event, by (group, seq): what each is told."""
+    state, out = {}, {}
+    for group, seq, at, kind, member, timeout in sorted(rows, key=lambda r: r[1]):
+        generation, now, members = state.get(group, (0, at, {}))
+        now = max(now, at)
+        expired = sorted(m for m, (limit, beat) in members.items() if now - beat >= limit)
+        for m in expired:
+            del members[m]
+        generation += bool(expired)
+        code = "none"
+        if kind == "join":
+            generation += member not in members
+            members[member] = (timeout, now)
+        elif kind != "expire" and member not in members:
+            code = "stale_member"
+        elif kind == "leave":
+            del members[member]
+            generation += 1
+        elif kind in ("heartbeat", "sync"):
+            members[member] = (members[member][0], now)
+        state[group] = (generation, now, members)
+        out[group, seq] = (generation, code, len(members), expired)
+    return out
+
+
+def some_events(n, seed):
+    import random
+
+    r, at, rows = random.Random(seed), 0, []
+    for seq in range(n):
+        at += r.choice((0, 1, 3, 40, -5))
+        kind = r.choice(("join", "join", "heartbeat", "heartbeat", "sync", "leave", "expire", "other"))
+        rows.append((r.choice(("g", "h")), seq * (1 << 17), at, kind, None if kind == "expire" else f"m{r.randrange(9)}", r.choice((0, 20, 90, 400, 1 << 40))))
+    return rows
+
+
+def test_membership_equals_a_walk_over_blocks_and_batches(spark, tmp_path):
+    """Clocks that run back, time-outs of 0, members that expire between two batches; a batch that was lost runs again from the same state."""
+    import shutil
+
+    rows, seen, folder = some_events(600, 3), 0, str(tmp_path / "f")
+    want = walked(rows)
+    told = lambda df: {(r.group, r.seq): (r.generation, r.error_code, r.members, list(r.expired)) for r in df.collect()}
+    assert told(groups.stream_membership(spark.createDataFrame(rows, groups.EVENT))) == want
+    (tmp_path / "in").mkdir()
+    for name, upto in (("a", 200), ("b", 260), ("c", 600)):
+        spark.createDataFrame(rows[seen:upto], groups.EVENT).write.parquet(str(tmp_path / "in" / name))
+        seen = upto
+        live = spark.readStream.schema(groups.EVENT).parquet(str(tmp_path / "in" / "*"))
+        assert told(streams.membership(live, folder)) == {k: v for k, v in want.items() if k[1] < upto * (1 << 17)}
+    shutil.rmtree(f"{folder}/state/commits")
+    assert told(streams.membership(live, folder)) == want
+
+
+def test_many_members_are_not_walked_through_in_python(spark):
+    """Every event of a group once looked at all its members, and copied them."""
+    rows = spark.createDataFrame([("g", 0, 0, "join", "m", 9)], groups.EVENT)
+    plan = groups.stream_membership(rows)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Window" in plan
+
+
 def test_one_generation_a_sweep(spark):
     changes = [("g", 0, "join", "a"), ("g", 1, "join", "b"), ("g", 2, "expire", "a"), ("g", 2, "expire", "b"), ("g", 3, "join", "a")]
     got = groups.replay(spark.createDataFrame(changes, "group string, seq bigint, kind string, member_id string"))

@@ -31,6 +31,27 @@ def number_in_order(rows: DataFrame, keys: list[str], seq: str, name: str, block
     return inside.join(bases, [*keys, "_block"]).withColumn(name, (F.col("_base") + F.col("_at")).cast("bigint")).drop("_block", "_at", "_base")
 
 
+def running(rows: DataFrame, key: str, seq: str, folds: dict[str, tuple], start: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Each name of ``folds``, (F.sum or F.max, column), over a row and the earlier rows of its key in the order of ``seq``, nulls of which come last.
+
+    In blocks as ``number_in_order``; a null key counts as one. ``start`` holds (key, names) to go on from.
+    """
+    blocked = rows.withColumn("_block", F.expr(f"`{seq}` div {block}"))
+    totals = blocked.groupBy(key, "_block").agg(*[fold(column).alias(name) for name, (fold, column) in folds.items()])
+    before = W.partitionBy(key).orderBy(F.col("_block").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), *[fold(name).over(before).alias(f"_{name}") for name, (fold, _) in folds.items()])
+    if start is not None:
+        held = start.select(F.col(key).alias("_h"), *[F.col(name).alias(f"_start_{name}") for name in folds])
+        bases = bases.join(held, F.col("_k").eqNullSafe(F.col("_h")), "left").drop("_h")
+    inside = W.partitionBy(key, "_block").orderBy(F.col(seq).asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = blocked.select("*", *[fold(column).over(inside).alias(name) for name, (fold, column) in folds.items()])
+    met = met.join(bases, F.col(key).eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_b")))
+    for name, (fold, _) in folds.items():
+        parts = [F.col(c) for c in ([name, f"_{name}"] if start is None else [name, f"_{name}", f"_start_{name}"])]
+        met = met.withColumn(name, F.greatest(*parts) if fold is F.max else sum((F.coalesce(c, F.lit(0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+    return met.select(*rows.columns, *folds)
+
+
 def route(rows: DataFrame, partitions: int, key: str = "key", seq: str = "seq", topic: str = "topic") -> DataFrame:
     """``partition``: by the key's hash, or in turn over the rows of a topic that have no key."""
     keyless = F.coalesce(F.octet_length(F.col(key)), F.lit(0)) == 0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelog.operators import groups
 from tidelog.sources.text import offset_log_lines, parse_offset_log
 
 
@@ -102,6 +103,34 @@ def consume(stream: DataFrame, group: str, folder: str | None = None) -> tuple[D
     return followed(stream, folder), parse_offset_log(lines.drop("_batch"))
 
 
+def membership(events: DataFrame, folder: str | None = None) -> DataFrame:
+    """Outcomes of ``groups.EVENT`` by batches, each with the groups and members that the batch before it has left.
+
+    What a batch leaves is written under its number after its outcomes, so a
+    batch run again starts from the same state and replaces what it wrote.
+    """
+    spark = events.sparkSession
+    folder = folder or _folder(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        work, state = f"{folder}/work", [f"{folder}/{name}/_batch={{}}" for name in ("groups", "members")]
+
+        def keep(df: DataFrame, path: str = f"{work}/rows") -> DataFrame:
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        held = (spark.read.schema(groups.GROUP).parquet(state[0].format(number - 1)), spark.read.schema(groups.MEMBER).parquet(state[1].format(number - 1))) if number else None
+        told, *left = groups.coordinate(keep(batch, f"{work}/events"), held, keep)
+        keep(told, f"{folder}/out/_batch={number}")
+        for df, path in zip(left, state, strict=True):
+            keep(df, path.format(number))
+            _remove(spark, path.format(number - 2))
+        _remove(spark, work)
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return followed(spark.createDataFrame([], groups.OUTCOME), folder)
+
+
 def consumed_offsets(stream: DataFrame, keys: list[str], offset: str) -> DataFrame:
     """Records and the next offset of each key, kept up to date over micro-batches."""
     return drain(stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), (F.max(offset) + 1).alias("next_offset")), "complete")
