@@ -93,3 +93,17 @@ def test_every_query_has_a_column_for_column_oracle(spark):
         assert cols == sorted(got.columns)
         plain = lambda x, cols=cols: x[cols].astype(str).sort_values(cols).reset_index(drop=True)
         assert plain(got).equals(plain(want)), name
+
+
+def test_ranks_are_found_in_ranges(spark):
+    """Ranks in whole numbers (0.07 * 100 is above 7 in doubles), a value that fills many ranges, keys and values that are null; no samples are gathered."""
+    rows = [("a", float(v)) for v in range(100, 0, -1)] + [("b", 5.0)] * 500 + [("b", float("nan")), ("b", None), (None, 3.0), (None, -1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = stats.pooled(df, ["k"], "v", {"p7": 0.07, "p50": 0.5, "p100": 1.0})
+    told = {r.k: (r.samples, r.p7, r.p50, str(r.p100)) for r in got.collect()}
+    assert told == {"a": (100, 7.0, 50.0, "100.0"), "b": (501, 5.0, 5.0, "nan"), None: (2, -1.0, -1.0, "3.0"), "c": (0, 0.0, 0.0, "0.0")}
+    assert "percentile" not in got._jdf.queryExecution().toString().lower()
+    assert {r.k: r.m for r in stats.ranked(df, ["k"], "v", stats.MIDDLE).select("k", stats.middle().alias("m")).collect()} == {"a": 50.5, "b": 5.0, None: 1.0, "c": 0.0}
+    few = spark.createDataFrame([(k % 7, k) for k in range(1000)], "k int, v int")
+    assert sorted(stats.ranked(few, [], "v", {"p95": stats.rank_of(0.95)}).collect()[0][:]) == [949, 1000]
+    assert stats.ranked(few.limit(0), ["k"], "v", {"p": stats.rank_of(0.5)}).count() == 0
