@@ -223,6 +223,31 @@ def test_a_stream_waits_for_records(spark, tmp_path):
         running.stop()
 
 
+def test_blocks_of_records_are_decoded_a_few_at_a_time(spark, monkeypatch):
+    """A batch of 10,000 blocks was once all Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidelog.plans import contracts
+
+    caught = []
+    monkeypatch.setattr(contracts, "map_arrow", lambda df, run, spec: caught.append(run))
+    contracts.log_round_trip(spark, "/root/testdata/sf0.001")
+    record = pa.struct([("offset", pa.int64()), ("timestamp_unix_ns", pa.int64()), ("key", pa.binary()), ("value", pa.binary())])
+    blocks = [[{"offset": 64 * b + k, "timestamp_unix_ns": k, "key": b"%d" % k, "value": b"x" * 9} for k in range(64)] for b in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"] * 2000), pa.array([0] * 2000, pa.int32()), pa.array(range(2000)), pa.array(blocks, pa.list_(record))], ["topic", "partition", "block", "rows"])
+    del blocks
+    tracemalloc.start()
+    seen, largest = 0, 0
+    for part in caught[0](iter([batch])):
+        assert part.column(2).to_pylist() == list(range(seen, seen + part.num_rows))
+        seen, largest = seen + part.num_rows, max(largest, part.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 128_000 and largest <= 8192 and peak < 20e6
+
+
 @pytest.mark.parametrize("name", ["topic_catalog", "stream_commits", "names_of_codes", "fetch_response_cap", "fetch_committed_groups", "produce_batches", "commit_append", "delete_topics", "stream_membership", "exposition_page", "log_round_trip", "produce_results", "segment_summary"])
 def test_queries_equal_their_sql(spark, name):
     c, folder = duckdb.connect(), "/root/testdata/sf0.001"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import INVALID_BATCH, INVALID_LENGTH, INVALID_PARTITION, UNSUPPORTED_CODEC, record_bytes
 from tidelog.operators.log import assign_offsets, bounds
-from tidelog.shipping import map_arrow
+from tidelog.shipping import map_arrow, sliced
 
 RECORDS = "topic string, partition int, offset bigint, timestamp_unix_ns bigint, key string, value string, encoded_byte_size bigint"
 BATCHES = "batch bigint, topic string, partition int, codec int, record_count bigint, uncompressed_bytes bigint, encoded binary, timestamp_unix_ns bigint"
@@ -59,7 +59,7 @@ def decode_batches(batches: DataFrame, offered: int = 3, max_records: int = 1 <<
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
-        for part in parts:
+        for part in sliced(parts, 16):
             codes, out = [], []
             for row in part.to_pylist():
                 found, code = None, "none"
